@@ -185,7 +185,7 @@ def count_tokens(column: pa.Array, file: str) -> tuple[np.ndarray, np.ndarray]:
     m = model(file)
     known = _known.setdefault(file, {})
     n_bytes, n_tokens = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
-    for t in K.texts(column):
+    for t in K.texts(column, shared.BATCH_BYTES):
         starts, ends, before = K.chunks(t, _blank)
         cells, places = K.repeated_cells(t, starts, ends)
         cells = cells.to_pylist()

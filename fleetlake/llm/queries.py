@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac_tokens, mixing, piece_counts, quality_rules, tiff_media
+from . import byte_bpe, dac_tokens, jaccard_join, mixing, piece_counts, quality_rules, tiff_media, warc_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.with_token_counts(docs, _tokenizer_file("piece_bpe_32k.model")).drop("text")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.round_trips(docs, _tokenizer_file("byte_bpe_50k.json")).drop("text")
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judged(docs, cleaned=None).drop("text")
@@ -46,12 +55,22 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac_tokens.read_checksums(spark, files, docs.schema["doc_id"].dataType.simpleString()).withColumnRenamed("key", "doc_id")
 
 
+def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    key = pages.schema["page_id"].dataType
+    found = warc_archive.read(spark, warc_archive.write(pages), bodies=False)
+    return found.select(F.col("key").cast(key).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(key).alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_token_counts": op2_token_counts,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op8_tiff_media": op8_tiff_media,
     "op9_token_files": op9_token_files,
+    "op10_warc_archive": op10_warc_archive,
 }
 
 _OP1 = """

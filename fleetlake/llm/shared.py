@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of Arrow data handed to Python at once; rows of any length then stay within a worker's memory.
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,9 +68,11 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage ends there, and lost
     executors lose nothing. The path is kept as ``.shared_path`` of the result."""
     path = fresh_path(spark, name)
+    bounded_batches(spark)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
+    spark.sparkContext._jvm.System.gc()  # what led here isn't needed again: Spark then removes its shuffle files
     return out
 
 
