@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, dac_tokens, jaccard_join, mixing, piece_counts, quality_rules, tiff_media, warc_archive
+from . import byte_bpe, dac_tokens, jaccard_join, mixing, piece_counts, quality_rules, suffix_dedup, tiff_media, warc_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.with_token_counts(docs, _tokenizer_file("piece_bpe_32k.model")).drop("text")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.round_trips(docs, _tokenizer_file("byte_bpe_50k.json")).drop("text")
@@ -65,6 +71,7 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_token_counts": op2_token_counts,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
