@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, dac_tokens, jaccard_join, mixing, piece_counts, quality_rules, suffix_dedup, tiff_media, warc_archive
+from . import byte_bpe, dac_tokens, jaccard_join, mixing, piece_counts, quality_rules, suffix_dedup, tiff_media, toxicity, warc_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs, cleaned=None).drop("text")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", (toxicity.fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tiff_media.read_back(tiff_media.with_media(docs).drop("text"), ["doc_id", "n_bytes"])
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
     "op8_tiff_media": op8_tiff_media,
     "op9_token_files": op9_token_files,
     "op10_warc_archive": op10_warc_archive,
