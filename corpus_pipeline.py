@@ -1,18 +1,66 @@
-"""The corpus pipeline: toxicity, near duplicates, repeated passages, mixing, token ids."""
+"""The corpus pipeline: from documents to the token ids of a training mix.
+
+Toxic documents go, one document of each group of near duplicates stays (five-word shingles, a Jaccard similarity of
+0.8 or more), passages of 50 words or more that stand in more than one place are cut out, sources are mixed to target
+weights, and the mix is encoded. Each stage's result is a Parquet table in the shared folder; the next one reads it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetlake.llm import byte_bpe, jaccard_join, mixing, shared, suffix_dedup, toxicity
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labels of sf_dir, doesn't predict to be toxic."""
+    model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group that links of 0.8 or more connect."""
+    return jaccard_join.representatives(docs, width=5, num=80, den=100)
+
+
+def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words that stand in a 50-word passage found elsewhere too. All documents stay, those
+    that lose everything with an empty text."""
+    found = suffix_dedup.without_repeats(docs, unit="word", depth=50)
+    text = F.when(F.size("spans") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))  # words are cut whole: it stays UTF-8
+    columns = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return found.select(*columns)
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def in_the_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, the token ids, their number and the digests of ids and of the text decoded from them."""
+    import public_tokenizers
+
+    found = byte_bpe.round_trips(docs, public_tokenizers.path("byte_bpe_50k.json"), ids="ids")
+    return found.select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", not_toxic),
+    ("near_duplicates", without_near_duplicates),
+    ("passages", without_passages),
+    ("mix", in_the_mix),
+    ("tokens", as_tokens),
+]
+#: Compression, shingle joins and token ids aren't SQL: tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fleetlake.llm import shared
-
+    """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = shared.written(spark, stage(spark, docs, sf_dir), name)

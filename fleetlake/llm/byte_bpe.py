@@ -231,20 +231,26 @@ def decoded(docs: DataFrame, file: str, ids: str = "ids", text: str = "decoded")
     return shared.mapped(docs, {text: "string"}, make)
 
 
-def round_trips(docs: DataFrame, file: str, text: str = "text") -> DataFrame:
+def round_trips(docs: DataFrame, file: str, text: str = "text", ids: str | None = None) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256
-    (of the text decoded from the ids), so that neither ids nor texts leave the workers. Null and empty texts have
-    no ids; columns with the results' names are replaced."""
+    (of the text decoded from the ids), so that neither ids nor texts need leave the workers; ``ids`` names a column
+    for the ids themselves. Null and empty texts have no ids; columns with the results' names are replaced."""
 
     def make(batch: pa.RecordBatch) -> list:
-        v, n, a, b = vocabulary(file), [], [], []
+        v, n, a, b, flat = vocabulary(file), [], [], [], []
         for t in K.texts(batch.column(text), shared.BATCH_BYTES):
-            ids, counts = v.encode(t)
-            packed, edges = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(counts)]) * 4
-            back, cuts = v.decode(ids, counts)
+            found, counts = v.encode(t)
+            flat.append(found)
+            packed, edges = found.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(counts)]) * 4
+            back, cuts = v.decode(found, counts)
             n.append(counts)
             a += [hashlib.sha256(packed[x:y]).hexdigest() for x, y in zip(edges.tolist(), edges[1:].tolist())]
             b += [hashlib.sha256(text_of(back[x:y]).encode()).hexdigest() for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
-        return [pa.array(np.concatenate(n)), pa.array(a), pa.array(b)]
-
-    return shared.mapped(docs, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, make)
+        out = [pa.array(np.concatenate(n)), pa.array(a), pa.array(b)]
+        if ids:
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(n))]).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat).astype(np.int32))))
+        return out
+
+    fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    return shared.mapped(docs, fields | ({ids: "array<int>"} if ids else {}), make)

@@ -277,3 +277,13 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     names = groups.select("node", "component").join(names, "component").select("node", "component_id")
     kept = sig.select("key", "n_shingles", "node").join(names, "node", "left")
     return kept.select(F.col("key").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "key")).otherwise(F.col("key")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component of joined(): the one whose key is the component's, and of rows
+    that repeat key and text one. Texts without words all stay, but for such repeats."""
+    found = joined(docs, key, text, **options)
+    stay = shared.written(docs.sparkSession, found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct(), "representatives")
+    names = [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__name"), F.col(key).isNull().alias("__null")]
+    met = docs.select("*", *names, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__print")).join(stay.select(*names), ["__name", "__null"], "left_semi")
+    return met.dropDuplicates(["__name", "__null", "__print"]).select(*docs.columns)
