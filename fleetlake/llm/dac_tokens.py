@@ -29,9 +29,9 @@ from . import textkernel as K
 MAGIC = b"FLDAC01\0"
 CHUNK, STRIDE = 8, 512
 #: Tokens of one file; a partition is written as several files when it has more.
-FILE_TOKENS = 8 << 20
+FILE_TOKENS = 2 << 20
 #: Chunks, and words, whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 
 
 def pack(ids: np.ndarray, starts: np.ndarray, labels: bytes = b"") -> bytes:
@@ -145,8 +145,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.words_known = Remembered({"\n": -1})
-        self.chunks_known = Remembered({})
+        self.words_known = K.Remembered({"\n": -1})
+        self.chunks_known = K.Remembered({})
 
     def learn_words(self, words: list[str]) -> None:
         ids, lengths = [], []
@@ -194,7 +194,7 @@ class Encoder:
         if len(self.words_known.index) > REMEMBERED:
             self.clear()
         elif len(self.chunks_known.index) > REMEMBERED:
-            self.chunks_known = Remembered({})
+            self.chunks_known = K.Remembered({})
         cells, known = cells.to_pylist(), self.chunks_known
         if fresh := [c for c in cells if c not in known.index]:
             self.learn_chunks(fresh)
@@ -203,25 +203,6 @@ class Encoder:
         return K.gather(known.flat, begin, size), K.per_document(size, before)
 
 
-class Remembered:
-    """Strings and their ids: ``index`` numbers them, the ids of number i are flat[at[i]:at[i+1]]."""
-
-    def __init__(self, index: dict):
-        self.index, self.n = index, 0
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def add(self, new: list, ids: list[np.ndarray], lengths: np.ndarray) -> None:
-        self.index.update(zip(new, range(self.n, self.n + len(new)), strict=True))
-        ids = np.concatenate(ids)
-        end = int(self.at[self.n])
-        if end + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat[:end], np.zeros(2 * (end + len(ids)), np.uint32)])
-        if self.n + len(new) >= len(self.at):
-            self.at = np.concatenate([self.at[: self.n + 1], np.zeros(2 * (self.n + len(new)), np.int64)])
-        self.flat[end : end + len(ids)] = ids
-        self.at[self.n + 1 : self.n + 1 + len(new)] = end + np.cumsum(lengths)
-        self.n += len(new)
-
 _encoders: dict[str, Encoder] = {}
 
 
@@ -291,7 +272,8 @@ def write(docs: DataFrame, file: str, end_id: int, key: str = "doc_id", text: st
     for _, _, path, documents, tokens in sorted(found):
         rows.append((path, documents, tokens, before))
         before += tokens
-    return spark.createDataFrame(rows, "path string, documents long, tokens long, before long")
+    # as a written table its size is known, so that the join in read() sends it to all while it is small
+    return shared.written(spark, spark.createDataFrame(rows, "path string, documents long, tokens long, before long").coalesce(1), "token-files")
 
 
 def _opened(spark: SparkSession, files: DataFrame) -> DataFrame | None:
