@@ -121,4 +121,36 @@ SELECT doc_id, size, source_size, target,
 FROM j
 """
 
-SQL: dict[str, str] = {"op1_source_mix": _OP1}
+_OP5 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * shared.n >= 90 * (p.n + q.n - shared.n)
+), either AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, e.y FROM reached r JOIN either e ON r.y = e.x
+)
+SELECT w.doc_id, coalesce(any_value(sizes.n), 0)::BIGINT AS n_shingles, min(reached.y) AS component_id
+FROM w LEFT JOIN sizes USING (doc_id) JOIN reached ON reached.x = w.doc_id GROUP BY w.doc_id
+"""
+
+_OP10 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS bits FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY body) AS first,
+         array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (list_reduce(list_transform(string_split(substr(bits, (5 * i + 1)::BIGINT, 5), ''), lambda b: b::INT), lambda x, y: 2 * x + y) + 1)::BIGINT, 1)), '') AS payload_digest
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+SQL: dict[str, str] = {"op1_source_mix": _OP1, "op5_jaccard_join": _OP5, "op10_warc_archive": _OP10}
