@@ -7,8 +7,8 @@ in both: a tile is split by the contents of its cells, and only nodes that share
 don't count, unless a node has more of them than are spare.
 
 Nodes of a cell are compared with its least node first and links joined to components; only then do nodes that are
-not yet in one component meet in blocks. Each pair must pass the bound from the bit counts of 512-bit signatures
-(bits that differ are shingles that differ) before the sorted arrays of shingle hashes are intersected.
+not yet in one component meet in blocks. Each pair must pass the bound from the bit counts of signatures of 512 bits,
+in blocks 2048 (bits that differ are shingles that differ), before the sorted arrays of shingle hashes are intersected.
 
 Shingles are compared as 64-bit hashes; all counts and decisions about links are exact for these.
 """
@@ -30,10 +30,11 @@ from . import shared
 from . import textkernel as K
 from .components import components
 
-WORDS = 8  # of 64 bits in a signature
+#: Words of 64 bits in a signature, and bytes of the wide one that large groups need.
+WORDS, WIDE = 8, 256
 BITS = [f"b{k}" for k in range(WORDS)]
-#: Nodes of a block, and members that one copy of a hub's set meets.
-BLOCK, MEMBERS = 64, 2000
+#: Nodes of a block, members that one copy of a hub's set meets, and partners of one list.
+BLOCK, MEMBERS, LIST = 8192, 2000, 1024
 
 
 class Bands:
@@ -115,23 +116,25 @@ def _node(shingles: np.ndarray) -> int:
 
 def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """key, n_shingles, node and the signature of every document, as a written table."""
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())] + [T.StructField(b, T.LongType()) for b in BITS])
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())] + [T.StructField(b, T.LongType()) for b in BITS] + [T.StructField("wide", T.BinaryType())])
     spark = docs.sparkSession
     shared.bounded_batches(spark)
     shared.ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, bits = [], [], []
+            n, node, bits, wide = [], [], [], []
             for _, shingles in _sets(batch.column("text"), width):
                 n.append(len(shingles))
                 node.append(_node(shingles))
-                mask = np.zeros(64 * WORDS, bool)
-                mask[(shingles & np.uint64(64 * WORDS - 1)).astype(np.int64)] = True
+                mask = np.zeros(8 * WIDE, bool)
+                mask[(shingles & np.uint64(8 * WIDE - 1)).astype(np.int64)] = True
+                wide.append(np.packbits(mask, bitorder="little").tobytes())
+                mask = np.logical_or.reduce(mask.reshape(-1, 64 * WORDS))
                 bits.append(np.packbits(mask, bitorder="little").view(np.int64))
             if n:
                 table = np.stack(bits)
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(WORDS))], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(WORDS)), pa.array(wide, pa.binary())], schema.names)
 
     return shared.written(spark, docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema), "signatures")
 
@@ -231,20 +234,91 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
 
 def rest_pairs(met: DataFrame, comp: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of nodes that share a cell, aren't in one component and weren't compared with its hub, if their
-    signatures allow a link. Cells are cut into blocks of about BLOCK nodes, so no task holds all pairs of one."""
+    signatures allow a link. Cells are cut into blocks of about BLOCK nodes and every pair of blocks is a tile, so no
+    task holds all pairs of a cell; in a tile all nodes outside its largest component meet all others. A node's
+    partners leave as lists and lists of several cells are united before they become pairs."""
     w = Window.partitionBy("cell")
     rows = met.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = rows.withColumns({"low": F.min("component").over(w), "high": F.max("component").over(w), "size": F.count(F.lit(1)).over(w)})
     rows = rows.where("low <> high AND size > 2 AND node <> hub")
-    rows = rows.join(classes.select("node", "n_shingles", *BITS), "node")
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = rows.withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumn("i", F.col("block"))
-    right = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).withColumn("j", F.col("block"))
-    a, b = left.alias("x"), right.alias("y")
-    on = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    on &= (F.col("x.component") != F.col("y.component")) & ((F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node")))
-    found = a.join(b, on & _may_link("x", "y", num, den))
-    return found.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    rows = rows.join(classes.select("node", "n_shingles", "wide"), "node").withColumn("other", F.explode(other))
+    rows = rows.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"), "node", "component", "n_shingles", "wide")
+    rows = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def met_in(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            column = {c: rows.column(c).to_numpy() for c in ("cell", "i", "j", "left", "node", "component", "n_shingles")}
+            bits = np.frombuffer(b"".join(x.as_buffer() for x in rows.column("wide")), np.uint64).reshape(-1, WIDE // 8)
+            changes = np.zeros(rows.num_rows, bool)
+            changes[0] = True
+            for c in ("cell", "i", "j"):
+                changes[1:] |= column[c][1:] != column[c][:-1]
+            starts = np.flatnonzero(changes)
+            out: dict[int, set[int]] = {}
+            for a, b in zip(starts, np.append(starts[1:], rows.num_rows)):
+                if b - a < 2:
+                    continue
+                _tile({c: x[a:b] for c, x in column.items()}, bits[a:b], num, den, out)
+            lists = [(node, *x) for node, partners in out.items() for x in _lists(partners)]
+            if lists:
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*lists), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["b", "part", "partners"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(x.num_rows for x in held) < 2 * BLOCK:
+                continue
+            rows = pa.Table.from_batches(held)
+            cell = rows.column("cell").to_numpy()
+            cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (rows.column("i").to_numpy()[1:] != rows.column("i").to_numpy()[:-1]) | (rows.column("j").to_numpy()[1:] != rows.column("j").to_numpy()[:-1]))
+            if len(cuts):  # the last tile may go on
+                yield from met_in(rows.slice(0, int(cuts[-1]) + 1))
+                held = rows.slice(int(cuts[-1]) + 1).combine_chunks().to_batches()
+        if held:
+            yield from met_in(pa.Table.from_batches(held))
+
+    found = rows.mapInArrow(run, "b long, part long, partners array<long>")
+    united = found.groupBy("b", "part").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
+    return united.select(F.explode("partners").alias("a"), "b").distinct()
+
+
+def _lists(partners: set[int]) -> Iterator[tuple[int, list[int]]]:
+    """Partners as lists of about LIST at most, with a number that tells which partners belong in such a list: lists
+    of one node and number are united, those of a node with very many partners don't all meet."""
+    split = 1
+    while len(partners) > LIST * split:
+        split *= 8
+    parts: dict[int, list[int]] = {}
+    for x in partners:
+        parts.setdefault(x % split, []).append(x)
+    for k, part in parts.items():
+        yield split << 32 | k, part
+
+
+def _tile(column: dict[str, np.ndarray], bits: np.ndarray, num: int, den: int, out: dict[int, set[int]]) -> None:
+    """Adds to ``out`` the partners of the tile's nodes outside its largest component."""
+    node, component, n, left = column["node"], column["component"], column["n_shingles"], column["left"]
+    names, counts = np.unique(component, return_counts=True)
+    main = names[np.argmax(counts)]
+    crossing = column["i"][0] != column["j"][0]
+    for q in np.flatnonzero(component != main):
+        rest = component != component[q]
+        rest &= (component == main) | (node > node[q])  # pairs of two such nodes once
+        if crossing:
+            rest &= left != left[q]
+        at = np.flatnonzero(rest)
+        differ = np.bitwise_count(bits[at] ^ bits[q]).sum(axis=1, dtype=np.int64)
+        total = n[at] + n[q]
+        overlap = np.minimum(np.minimum((total - differ) // 2, n[at]), n[q])
+        at = at[den * overlap >= num * (total - overlap)]
+        if len(at):
+            out.setdefault(int(node[q]), set()).update(node[at].tolist())
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -257,7 +331,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """
     spark = docs.sparkSession
     sig = signatures(docs, key, text, width)
-    classes = sig.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("rep"), F.max("n_shingles").alias("n_shingles"), *(F.max(b).alias(b) for b in BITS))
+    classes = sig.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("rep"), F.max("n_shingles").alias("n_shingles"), *(F.max(b).alias(b) for b in BITS), F.max("wide").alias("wide"))
     classes = shared.written(spark, classes, "classes")
     w = Window.partitionBy("cell")
     found = cells(docs, text, width, num, den).withColumns({"hub": F.min("node").over(w), "top": F.max("node").over(w)})
