@@ -96,7 +96,7 @@ def planned(
     share a key get the same draw. Columns of ``docs`` with the names of results are replaced.
     """
     weights = weights or [5, 2, 1]
-    results = ("size", "source_size", "weight", "target", COPIES)
+    results = ("size", "source_size", "target", COPIES)
     sized = docs.drop(*results).withColumn("size", word_count(F.col(text)))
     goal = targets(sized.select(source, "size"), source, "size", weights, budget, cap)
     goal = goal.select(F.col(source).alias("__source"), "source_size", "target")
@@ -111,6 +111,7 @@ def planned(
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as planned() says. Same columns as ``docs``."""
-    plan = planned(docs, **options)
+    names = {options.get(n, default) for n, default in (("text", "text"), ("source", "source"), ("key", "doc_id"))}
+    plan = planned(docs.select(F.struct(*docs.columns).alias("__row"), *sorted(names)), **options)
     times = F.when(F.col(COPIES) > 0, F.sequence(F.lit(1), F.col(COPIES).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return plan.withColumn("__copy", F.explode(times)).select(*docs.columns)
+    return plan.withColumn("__copy", F.explode(times)).select("__row.*")

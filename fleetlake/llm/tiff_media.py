@@ -91,15 +91,15 @@ def lzw(data: bytes) -> bytes:
         put(table[prefix] if len(prefix) > 1 else prefix[0])
         table[longer] = 258 + len(table)
         prefix = longer[-1:]
-        if 258 + len(table) == 4094:
+        if 258 + len(table) == 4095:
             put(256)
             table, width = {}, 9
-        elif 258 + len(table) >= (1 << width) - 1:
+        elif 258 + len(table) >= 1 << width:
             width += 1
     if prefix:
         put(table[prefix] if len(prefix) > 1 else prefix[0])
-        # the reader adds an entry for this code too, and widens where that fills the width
-        if 258 + len(table) + 1 >= (1 << width) - 1 and width < 12:
+        # the reader has caught up with the table here and widens by its own count
+        if 258 + len(table) >= (1 << width) - 1 and width < 12:
             width += 1
     put(257)
     if n_held:
