@@ -98,10 +98,11 @@ def health_row_rules(health: DataFrame, now: Column | None = None, strict: bool
         bad(wrong).alias("strict"),
         bad(cluster.isNull() | ~cluster.between(0, 5)).alias("clusters"),
         expr.ratio(bad(expr.unknown(NORMS + ROLLING)), F.count(F.lit(1))).alias("missing"),
-        F.coalesce(gap, F.lit(1e9)).alias("gap"),
     )
+    # of its own, since an empty table has no grouping set; only one column is read
+    last = health.agg(F.count(F.lit(1)).alias("sample_size"), F.coalesce(gap, F.lit(1e9)).alias("gap")).withColumn("dataset_id", F.lit(ALL))
     rules = {"labels": LABELS, "clusters": CLUSTERS, "missing": NAN_RATIO} | ({"strict": LABELS_STRICT} if strict else {})
-    return judged(found, rules).unionByName(judged(found.where(F.col("dataset_id") == ALL), {"gap": FRESH}))
+    return judged(found, rules).unionByName(judged(last, {"gap": FRESH}))
 
 
 def count_rule(raw: DataFrame, health: DataFrame) -> DataFrame:
