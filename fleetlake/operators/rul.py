@@ -6,14 +6,18 @@ import time
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlake.functions import expr
+from fleetlake.operators.features import sequences
 from fleetlake.schemas import ENGINE, KEPT, NORMS, ROLLING, TABLES
 
 FEATURES = ["cycle", "op_condition_cluster", *NORMS, *ROLLING, "health_index"]
+#: Per step of a sequence; cycles are scaled by about the longest life.
+STEP_FEATURES, LONGEST = [*NORMS, *ROLLING, "health_index", "cycle_norm"], 300.0
 CAP = 130
 SPLITS = ("train", "holdout", "nasa_test", "operational")
 assert len(FEATURES) == 6 + len(KEPT)
@@ -37,6 +41,18 @@ def fit(rows: DataFrame, max_iter: int = 50, max_depth: int = 5, seed: int = 42)
     return Pipeline(stages=[assembler, trees]).fit(rows)
 
 
+def sequence_vectors(rows: DataFrame, window: int = 30) -> DataFrame:
+    """Prepared rows with ``features``: the engine's last ``window`` steps side by side, padded with the earliest."""
+    steps = sequences(rows.withColumn("cycle_norm", F.col("cycle") / LONGEST), STEP_FEATURES, window)
+    return steps.withColumn("features", array_to_vector(F.flatten("sequence"))).drop("sequence")
+
+
+def fit_sequences(rows: DataFrame, window: int = 30, max_iter: int = 20, max_depth: int = 5, seed: int = 42) -> PipelineModel:
+    """A model over sequences; score with transform(sequence_vectors(rows, window))."""
+    trees = GBTRegressor(featuresCol="features", labelCol="rul_capped", predictionCol="prediction", maxIter=max_iter, maxDepth=max_depth, seed=seed)
+    return Pipeline(stages=[trees]).fit(sequence_vectors(rows, window))
+
+
 def residual_sigma(scored: DataFrame) -> float:
     """Sample deviation of capped label minus prediction, 0 where there are too few rows."""
     return scored.agg(F.stddev_samp(F.col("rul_capped") - F.col("prediction"))).first()[0] or 0.0

@@ -108,3 +108,10 @@ def test_prepared_and_sequences(spark):
 
 def test_feature_columns():
     assert len(rul.FEATURES) == 20 and len(KEPT_SENSORS) == len(NORMS) == 14
+
+
+def test_sequence_model(spark):
+    rows = rul.prepared(health_rows(spark, 6, 20))
+    model = rul.fit_sequences(rows, window=5, max_iter=3, max_depth=3)
+    scored = model.transform(rul.sequence_vectors(rows, 5))
+    assert len(scored.first().features) == 5 * 19 and scored.count() == 120 and rul.residual_sigma(scored) < 3
