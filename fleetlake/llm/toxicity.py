@@ -2,15 +2,14 @@
 ordinary text, and what the first saves over the second speaks for toxicity.
 
 Both dictionaries hold the content that zstandard's trainer finds in ordinary text, at the same distance from the
-window, so that ordinary windows come out equally long. In front of it stand the segments that set the class
-apart: words and word beginnings that are far commoner in labelled toxic texts, or words of ordinary ones only. A text's
+window, so that ordinary windows come out equally long. Behind it the toxic one holds the segments that set toxic
+text apart, words and word beginnings that are far commoner there, and the other the same without their heads. A text's
 largest savings and its number of windows give its score through a logistic curve, which is fitted, as the decision
 at 0.5 is calibrated, on labelled texts that the dictionaries haven't seen.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +21,16 @@ from pyspark.sql import functions as F
 from . import shared
 from . import textkernel as K
 
-#: Labelled texts of each class that a model is fitted on, at most.
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 3000, 5000
+#: Labelled texts of each class that a model is fitted on, at most, and windows that the common content is found in.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, POOL = 2000, 4000, 20_000
 #: Words of a window and from one window to the next; bytes of common dictionary content.
-WINDOW, STEP, COMMON = 8, 4, 4096
-#: A segment is in this share and number of its class's texts at least, and this many times commoner there.
-LEAST_SHARE, LEAST_TEXTS, LEAST_TIMES = 0.02, 5, 30.0
-TOP = 3
+WINDOW, STEP, COMMON = 8, 4, 16384
+#: A segment is in this share and number of toxic texts at least, this many times commoner there, the more so the
+#: smaller its share (their product); a text of the other class that has it costs so many toxic ones.
+LEAST_SHARE, LEAST_TEXTS, LEAST_TIMES, LEAST_PRODUCT, PRICE = 0.02, 5, 5.0, 1.0, 3.0
+TOP = (3, 8)
+#: What stands for a segment's first bytes where these are taken away; it equals no text.
+BLANK = b"\1\2\3\4"
 #: Letters lower-cased; whatever else parts words.
 _KEEP = np.full(256, 0x20, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
@@ -41,46 +43,75 @@ def windows(words: list[bytes]) -> list[bytes]:
     return [b" " + b" ".join(words[k : k + WINDOW]) + b" " for k in range(0, max(1, len(words) - WINDOW + STEP), STEP)]
 
 
-def _stems(words: set[bytes]) -> dict[bytes, set[bytes]]:
-    """Segments that a word can be known by, a whole word or a beginning of it, with the words that have them."""
-    out: dict[bytes, set[bytes]] = {}
-    for word in words:
-        if 3 <= len(word) <= 40:
-            for stem in {b" " + word + b" ", *(b" " + word[:k] for k in range(4, min(len(word), 11) + 1))}:
-                out.setdefault(stem, set()).add(word)
-    return out
+class Words:
+    """Texts as arrays of numbers of their distinct words."""
 
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
 
-def _telling(own: list[set[bytes]], other: list[set[bytes]]) -> list[bytes]:
-    """Segments that set the texts ``own`` (as sets of words) apart from ``other``. Each is chosen for the texts in
-    which it explains words that no earlier choice does."""
-    stems = [_stems(w) for w in own]
-    count = Counter(s for x in stems for s in x)
+    def add(self, words: list[bytes]) -> np.ndarray:
+        return np.unique(np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int64))
+
+
+def _texts_with(texts: list[np.ndarray], of: np.ndarray, n: int) -> np.ndarray:
+    """In how many texts each of n segments stands; ``of`` is the segment of each word, below 0 none."""
+    flat = of[np.concatenate(texts)] if texts else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    owner, flat = owner[flat >= 0], flat[flat >= 0]
+    return np.bincount(np.unique(owner * n + flat) % n, minlength=n) if len(flat) else np.zeros(n, np.int64)
+
+
+def _telling(vocabulary: list[bytes], own: list[np.ndarray], other: list[np.ndarray]) -> list[bytes]:
+    """Segments, words or beginnings of words, that set the texts ``own`` apart from ``other``. Each is chosen for
+    the texts in which it explains words that no earlier choice does."""
     least = max(LEAST_TEXTS, LEAST_SHARE * len(own))
-    frequent = {s for s, n in count.items() if n >= least}
-    against = Counter(s for w in other for s in _stems(w) if s in frequent)
-    good = {s for s in frequent if count[s] / len(own) >= LEAST_TIMES * (against[s] + 0.5) / max(len(other), 1)}
-    where: dict[bytes, list[int]] = {s: [] for s in good}
-    for i, x in enumerate(stems):
-        for s in x.keys() & good:
-            where[s].append(i)
+    alive = np.array([3 <= len(w) <= 40 for w in vocabulary], bool)
+    segments: list[bytes] = []
+    against: list[int] = []
+    members: list[np.ndarray] = []
+    for length in (*range(4, 12), 0):  # a longer beginning can't be in more texts than a shorter one
+        names: dict[bytes, int] = {}
+        of = np.full(len(vocabulary), -1, np.int64)
+        for k in np.flatnonzero(alive).tolist():
+            word = vocabulary[k]
+            if not length or len(word) >= length:
+                of[k] = names.setdefault(b" " + word[:length] if length else b" " + word + b" ", len(names))
+        if not names:
+            continue
+        count, opposed = _texts_with(own, of, len(names)), _texts_with(other, of, len(names))
+        frequent = count >= least
+        short = of < 0  # words too short for this length stay for the whole words
+        alive &= short | frequent[np.maximum(of, 0)]
+        share = count / len(own)
+        times = share * max(len(other), 1) / (opposed + 0.5)
+        good = frequent & (times >= LEAST_TIMES) & (share * times >= LEAST_PRODUCT)
+        listed = list(names)
+        for s in np.flatnonzero(good).tolist():
+            segments.append(listed[s])
+            against.append(int(opposed[s]))
+            members.append(np.flatnonzero(of == s))
+    if not segments:
+        return []
+    order = sorted(range(len(segments)), key=lambda s: (len(segments[s]), segments[s]))
+    word = np.concatenate([members[s] for s in order])
+    place = np.repeat(np.arange(len(order)), [len(members[s]) for s in order])
+    by_word = np.argsort(word, kind="stable")
+    word, place = word[by_word], place[by_word]
+    flat, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(t) for t in own])
+    lo, hi = np.searchsorted(word, flat), np.searchsorted(word, flat, "right")
+    text = np.repeat(owner, hi - lo)  # every text's words with every segment that they have
+    segment, said = K.gather(place, lo, hi - lo), np.repeat(flat, hi - lo)
+    price = PRICE * len(own) / max(len(other), 1) * np.array([against[s] for s in order])
     chosen: list[bytes] = []
-    price = 10 * len(own) / max(len(other), 1)
-    while good:
-        best = max(good, key=lambda s: (len(where[s]) - price * against[s], len(s), s))
-        if len(where[best]) < least:
+    while len(text):
+        count = np.bincount(np.unique(text * len(order) + segment) % len(order), minlength=len(order))
+        worth = np.where(count >= least, count - price, -np.inf)
+        best = len(order) - 1 - int(np.argmax(worth[::-1]))  # of equals the longest
+        if worth[best] <= 0:
             break
-        chosen.append(best)
-        touched = where.pop(best)
-        good.discard(best)
-        for i in touched:  # the words that it stands for no longer speak for other segments
-            gone = stems[i].pop(best)
-            for s in [s for s, w in stems[i].items() if w & gone]:
-                stems[i][s] -= gone
-                if not stems[i][s]:
-                    del stems[i][s]
-                    if s in where:
-                        where[s].remove(i)
+        chosen.append(segments[order[best]])
+        stay = ~np.isin(said, members[order[best]])  # what it stands for no longer speaks for others
+        text, segment, said = text[stay], segment[stay], said[stay]
     return chosen
 
 
@@ -103,10 +134,10 @@ class Model:
         return self
 
     def features(self, words: list[bytes]) -> tuple[float, ...]:
-        """Largest saving, the sum of the TOP largest, and the logarithm of the number of windows."""
+        """Largest saving, the sums of the TOP largest, and the logarithm of the number of windows."""
         a, b = self._with_toxic, self._with_ordinary
         saved = sorted([len(b(w)) - len(a(w)) for w in windows(words)], reverse=True)
-        return float(saved[0]), float(sum(x for x in saved[:TOP] if x > 0)), float(np.log(len(saved)))
+        return float(saved[0]), *(float(sum(x for x in saved[:n] if x > 0)) for n in TOP), float(np.log(len(saved)))
 
     def score(self, words: list[bytes]) -> float:
         if self.curve is None:
@@ -130,27 +161,38 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def fit(sample: list[tuple[str | None, int]]) -> Model:
-    """A model from labelled texts (label 1: toxic). Two texts of three make the dictionaries, the third the curve."""
-    sets = [(words_of(text), label) for text, label in sample]
-    learn = [x for k, x in enumerate(sets) if k % 3 != 2]
-    held = [x for k, x in enumerate(sets) if k % 3 == 2]
-    toxic, ordinary = [set(w) for w, y in learn if y], [set(w) for w, y in learn if not y]
+def fit(sample: list[tuple[str | None, int]], odds: float | None = None) -> Model:
+    """A model from labelled texts (label 1: toxic). Two texts of three make the dictionaries, the third the curve.
+    ``odds``: of toxic to ordinary texts where the sample isn't as all texts are; the curve is moved accordingly."""
+    if len({label for _, label in sample}) < 2:
+        return Model()
+    book, toxic, ordinary, pool, held = Words(), [], [], [], []
+    for k, (text, label) in enumerate(sample):
+        words = words_of(text)
+        if k % 3 == 2:
+            held.append((words, label))
+            continue
+        (toxic if label else ordinary).append(book.add(words))
+        if not label and len(pool) < POOL:
+            pool += windows(words)[k % 7 :: 7]
     if not toxic or not ordinary or len({y for _, y in held}) < 2:
         return Model()
-    pool = [x for w, y in learn if not y for x in windows(w)][::7][:20_000]
     try:
         common = zstandard.train_dictionary(COMMON, pool).as_bytes()[-COMMON:]
     except zstandard.ZstdError:  # too little text to train on
         common = b"".join(pool)[-COMMON:]
-    told = _telling(toxic, ordinary)
+    vocabulary = list(book.number)
+    told = _telling(vocabulary, toxic, ordinary)
     if not told:
         return Model()
-    front, strange = b"".join(told), set().union(*toxic)
-    plain = Counter(x for w in ordinary for x in w if x not in strange).most_common(len(front))
-    other = b"".join(b" " + x + b" " for x, n in plain if n >= LEAST_TEXTS)[: len(front)]
-    model = Model(front + common, other.rjust(len(front), b"\0") + common).ready()
+    front = b"".join(told)
+    # the same without the segments' heads, so that what their ends have in common with ordinary words saves nothing
+    blank = b"".join(BLANK[: len(x)] + x[len(BLANK) :] for x in told)
+    model = Model(common + front, common + blank).ready()
     model.curve = _logistic(np.array([model.features(w) for w, _ in held]), np.array([y for _, y in held], float))
+    if odds:
+        here = sum(y for _, y in held) / sum(1 - y for _, y in held)
+        model.curve = (model.curve[0] + float(np.log(odds / here)), *model.curve[1:])
     model.segments = told
     return model
 
@@ -165,12 +207,14 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     the least hashes. Keys with several labels count as toxic if one of them says so; null labels are left out."""
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("__label"))
     told = told.where(fold_of(F.col("__key")) != 0)
+    counts = {r["__label"]: r["count"] for r in told.groupBy("__label").count().collect()}  # two rows
     order = [F.xxhash64(F.col("__key").cast("string")), F.col("__key")]
     few = told.where("__label = 1").orderBy(*order).limit(most[0]).unionByName(told.where("__label = 0").orderBy(*order).limit(most[1]))
     # bounded by the parameter, so it may go to every task
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(few), "__key").collect()
     rows.sort(key=lambda r: (str(r["__key"]), r["__text"] or ""))
-    return fit([(r["__text"], r["__label"]) for r in rows])
+    odds = counts[1] / counts[0] if counts.get(1) and counts.get(0) else None
+    return fit([(r["__text"], r["__label"]) for r in rows], odds)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
