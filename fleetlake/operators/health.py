@@ -133,9 +133,9 @@ def degradation(kpi: DataFrame) -> DataFrame:
     return kpi.select("kpi_date", "dataset_id", "op_condition_cluster", "avg_health_index", "health_index_p10", "health_index_p50", "health_index_p90", "avg_degradation_rate", "critical_count", "high_count", "risk_ratio_critical").orderBy("kpi_date", "dataset_id", "op_condition_cluster")
 
 
-#: What to do per tier, in the words of the fleet's operators.
-ACTIONS = {"CRITICAL": "inspect now", "HIGH": "inspect within 7 days"}
-WATCH = "watch"
+# What the queue says per tier (inspect at once, inspect within 7 days, watch).
+ACTIONS = {"CRITICAL": "즉시 점검", "HIGH": "7일 내 점검"}
+WATCH = "관찰"
 
 
 def maintenance_queue(predicted: DataFrame, version: str, actions: dict[str, str] | None = None) -> DataFrame:

@@ -278,7 +278,7 @@ def _(spark, sf_dir):
     return health.top_risk(predicted(spark, sf_dir).where("NOT is_test"), VERSION).drop("predict_ts")
 
 
-@query("maintenance_queue", f"{_LATEST} SELECT dataset_id, unit_id, cycle, rul_pred, risk_tier, CASE risk_tier WHEN 'CRITICAL' THEN 'inspect now' ELSE 'inspect within 7 days' END AS action FROM latest WHERE risk_tier IN ('CRITICAL', 'HIGH')")
+@query("maintenance_queue", f"{_LATEST} SELECT dataset_id, unit_id, cycle, rul_pred, risk_tier, CASE risk_tier WHEN 'CRITICAL' THEN '즉시 점검' ELSE '7일 내 점검' END AS action FROM latest WHERE risk_tier IN ('CRITICAL', 'HIGH')")
 def _(spark, sf_dir):
     return health.maintenance_queue(predicted(spark, sf_dir), VERSION).select("dataset_id", "unit_id", "cycle", "rul_pred", "risk_tier", "action")
 
