@@ -27,7 +27,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: White space beyond ASCII's, in UTF-8: texts that hold it are split whole instead of by chunk.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
 #: Chunks and words whose ids a worker remembers, and pairs of tokens whose standing it does.
-REMEMBERED, PAIRS = 500_000, 3_000_000
+REMEMBERED, PAIRS = 150_000, 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -209,7 +209,7 @@ def encoded(docs: DataFrame, file: str, text: str = "text", ids: str = "ids") ->
 
     def make(batch: pa.RecordBatch) -> list:
         v, parts, edges = vocabulary(file), [], [np.zeros(1, np.int64)]
-        for t in K.texts(batch.column(text), shared.BATCH_BYTES):
+        for t in K.texts(batch.column(text)):
             flat, counts = v.encode(t)
             parts.append(flat)
             edges.append(edges[-1][-1] + np.cumsum(counts))
@@ -238,7 +238,7 @@ def round_trips(docs: DataFrame, file: str, text: str = "text", ids: str | None
 
     def make(batch: pa.RecordBatch) -> list:
         v, n, a, b, flat = vocabulary(file), [], [], [], []
-        for t in K.texts(batch.column(text), shared.BATCH_BYTES):
+        for t in K.texts(batch.column(text)):
             found, counts = v.encode(t)
             flat.append(found)
             packed, edges = found.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(counts)]) * 4

@@ -136,7 +136,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 table = np.stack(bits)
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(WORDS)), pa.array(wide, pa.binary())], schema.names)
 
-    return shared.written(spark, docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema), "signatures")
+    return shared.written(spark, shared.arrow_map(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, schema), "signatures")
 
 
 def cells(docs: DataFrame, text: str, width: int, num: int, den: int) -> DataFrame:
@@ -160,7 +160,7 @@ def cells(docs: DataFrame, text: str, width: int, num: int, den: int) -> DataFra
                 for k in range(0, len(flat), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(flat[k : k + 200_000]), pa.array(owner[k : k + 200_000])], ["cell", "node"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "cell long, node long")
+    return shared.arrow_map(docs.select(F.col(text).alias("text")), run, "cell long, node long")
 
 
 def _may_link(a: str, b: str, num: int, den: int) -> Column:
@@ -202,7 +202,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
             if rows:
                 yield _sent(rows)
 
-    sent = texts.mapInArrow(send, "hub long, part int, role int, node long, body binary")
+    sent = shared.arrow_map(texts, send, "hub long, part int, role int, node long, body binary")
     ordered = sent.repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
                         b.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return shared.written(spark, ordered.mapInArrow(meet, "a long, b long").distinct(), "verified")
+    return shared.written(spark, shared.arrow_map(ordered, meet, "a long, b long").distinct(), "verified")
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
@@ -283,7 +283,7 @@ def rest_pairs(met: DataFrame, comp: DataFrame, classes: DataFrame, num: int, de
         if held:
             yield from met_in(pa.Table.from_batches(held))
 
-    found = rows.mapInArrow(run, "b long, part long, partners array<long>")
+    found = shared.arrow_map(rows, run, "b long, part long, partners array<long>")
     united = found.groupBy("b", "part").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
     return united.select(F.explode("partners").alias("a"), "b").distinct()
 

@@ -7,6 +7,8 @@ folder of our own made and set. Everything goes below one folder per application
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -116,13 +118,34 @@ def ship(spark: SparkSession) -> None:
     ship.sent.add(app)
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: idle workers otherwise keep what their last task needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow with bounded batches and this package at hand; at a task's end its memory goes back."""
+    bounded_batches(df.sparkSession)
+    ship(df.sparkSession)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def mapped(df: DataFrame, fields: dict[str, str], make: Callable[[pa.RecordBatch], list], keep: list[str] | None = None) -> DataFrame:
     """``df`` with further columns that ``make`` computes from each Arrow batch, one array per field in order.
     ``fields`` gives names and SQL types. Columns of ``df`` that bear such a name are replaced; ``keep`` names the
     columns of ``df`` to pass on (default: all), those that ``make`` reads must be in ``df``."""
-    spark = df.sparkSession
-    bounded_batches(spark)
-    ship(spark)
     keep = [c for c in (df.columns if keep is None else keep) if c not in fields]
     new = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()])
     schema = T.StructType([df.schema[c] for c in keep] + new.fields)
@@ -132,4 +155,4 @@ def mapped(df: DataFrame, fields: dict[str, str], make: Callable[[pa.RecordBatch
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *make(batch)], names=[*keep, *fields])
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)

@@ -143,7 +143,7 @@ def _anchor_rows(ids: DataFrame, depth: int, digit: int, unit: str) -> DataFrame
                     yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("print").take(at), *(pa.array(found[c].astype(np.int64)) for c in ROW[:2]), *(pa.array(found[c].astype(np.int32)) for c in ROW[2:])], ["key", "print", *ROW])
 
     schema = T.StructType([T.StructField("key", ids.schema["key"].dataType), T.StructField("print", T.LongType())] + [T.StructField(c, T.LongType() if c in ROW[:2] else T.IntegerType()) for c in ROW])
-    return ids.mapInArrow(run, schema)
+    return shared.arrow_map(ids, run, schema)
 
 
 def _bodies(ids: DataFrame, asked: DataFrame, depth: int, unit: str) -> DataFrame:
@@ -172,7 +172,7 @@ def _bodies(ids: DataFrame, asked: DataFrame, depth: int, unit: str) -> DataFram
                         out, owner, held = [], [], 0
 
     schema = T.StructType([T.StructField("key", ids.schema["key"].dataType), T.StructField("print", T.LongType()), T.StructField("digit", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("needed", T.BooleanType()), T.StructField("body", T.BinaryType())])
-    return met.mapInArrow(run, schema)
+    return shared.arrow_map(met, run, schema)
 
 
 def _last_pass(bodies: DataFrame, depth: int, unit: str) -> DataFrame:
@@ -218,7 +218,7 @@ def _last_pass(bodies: DataFrame, depth: int, unit: str) -> DataFrame:
         if held:
             yield from sort(pa.Table.from_batches(held))
 
-    return ordered.mapInArrow(run, schema)
+    return shared.arrow_map(ordered, run, schema)
 
 
 def _by_windows(bodies: DataFrame, depth: int, unit: str) -> DataFrame:
@@ -242,7 +242,7 @@ def _by_windows(bodies: DataFrame, depth: int, unit: str) -> DataFrame:
                 start = part.column("first").to_numpy()[owner] + s - before[owner]
                 yield pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("print").take(at), part.column("needed").take(at), pa.array(start.astype(np.int32)), pa.array(hashes.astype(np.int64))], schema.names)
 
-    rows = bodies.mapInArrow(run, schema)
+    rows = shared.arrow_map(bodies, run, schema)
     twice = rows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
     return rows.where("needed").join(twice, "window").select("key", "print", F.col("start").alias("first"), F.col("start").alias("last"))
 

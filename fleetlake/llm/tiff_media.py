@@ -304,7 +304,7 @@ def page_rows(files: DataFrame, keep: list[str], media: str = "media") -> DataFr
                         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), *cols], schema.names)
                     owner, rows, held = [], [], 0
 
-    return files.mapInArrow(run, schema)
+    return shared.arrow_map(files, run, schema)
 
 
 def features(image: np.ndarray) -> tuple[np.ndarray, int]:
@@ -345,4 +345,4 @@ def read_back(files: DataFrame, keep: list[str], media: str = "media") -> DataFr
                 cols = [pa.array(x, y) for x, y in zip(zip(*results), (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(done)) for c in kept), *cols], schema.names)
 
-    return listed.mapInArrow(run, schema)
+    return shared.arrow_map(listed, run, schema)

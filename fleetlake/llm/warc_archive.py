@@ -159,7 +159,7 @@ def write(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
         if out:
             yield flush()
 
-    listed = plan.mapInArrow(run, "path string, n_records long, n_bytes long").collect()  # a row per file
+    listed = shared.arrow_map(plan, run, "path string, n_records long, n_bytes long").collect()  # a row per file
     return spark.createDataFrame([tuple(x) for x in listed], "path string, n_records long, n_bytes long")
 
 
@@ -197,4 +197,4 @@ def read(spark: SparkSession, files: DataFrame, bodies: bool = True) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*group), kinds)], names)
 
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(one[0].rsplit("/", 1)[0]).select("content")
-    return content.mapInArrow(run, schema)
+    return shared.arrow_map(content, run, schema)
