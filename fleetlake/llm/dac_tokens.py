@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +160,7 @@ class Encoder:
             self.words_known.add(words, ids, np.concatenate(lengths))
 
     def learn_chunks(self, chunks: list[bytes]) -> None:
-        joined = b"\n".join([c.strip() for c in chunks]).decode()
+        joined = b"\n".join(map(bytes.strip, chunks)).decode()
         odd: dict[int, np.ndarray] = {}
         if self.odd.search(joined):
             parts = joined.split("\n")
@@ -196,9 +197,12 @@ class Encoder:
         elif len(self.chunks_known.index) > REMEMBERED:
             self.chunks_known = K.Remembered({})
         cells, known = cells.to_pylist(), self.chunks_known
-        if fresh := [c for c in cells if c not in known.index]:
-            self.learn_chunks(fresh)
-        index = np.fromiter(map(known.index.__getitem__, cells), np.int64, len(cells))[places]
+        index = np.fromiter(map(known.index.get, cells, repeat(-1)), np.int64, len(cells))
+        if len(fresh := np.flatnonzero(index < 0)):
+            first = known.n
+            self.learn_chunks([cells[k] for k in fresh.tolist()])
+            index[fresh] = np.arange(first, known.n)
+        index = index[places]
         begin, size = known.at[index], known.at[index + 1] - known.at[index]
         return K.gather(known.flat, begin, size), K.per_document(size, before)
 
@@ -251,7 +255,7 @@ def write(docs: DataFrame, file: str, end_id: int, key: str = "doc_id", text: st
             if not batch.num_rows:
                 continue
             part = batch.column("part")[0].as_py()
-            for t in K.texts(batch.column("text"), 2 * K.SLICE_BYTES):
+            for t in K.texts(batch.column("text"), shared.BATCH_BYTES):
                 flat, n = encode.encode(t)
                 with_end = np.full(len(flat) + len(n), end_id, np.uint32)
                 inside = np.ones(len(with_end), bool)
@@ -267,7 +271,7 @@ def write(docs: DataFrame, file: str, end_id: int, key: str = "doc_id", text: st
         if ids:
             yield flush()
 
-    found = ordered.mapInArrow(run, "part int, piece int, path string, documents long, tokens long").collect()  # a row per file
+    found = shared.arrow_map(ordered, run, "part int, piece int, path string, documents long, tokens long").collect()  # a row per file
     rows, before = [], 0
     for _, _, path, documents, tokens in sorted(found):
         rows.append((path, documents, tokens, before))
@@ -312,7 +316,7 @@ def read(spark: SparkSession, files: DataFrame, key_type: str = "long") -> DataF
                 lists = pa.ListArray.from_arrays(pa.array((starts - starts[0]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([keys.slice(lo, len(starts) - 1), pa.array(starts[:-1] + before), pa.array(np.diff(starts)), lists], names=["key", "start", "n_tokens", "ids"])
 
-    return content.mapInArrow(run, schema)
+    return shared.arrow_map(content, run, schema)
 
 
 def read_checksums(spark: SparkSession, files: DataFrame, key_type: str = "long") -> DataFrame:
@@ -330,4 +334,4 @@ def read_checksums(spark: SparkSession, files: DataFrame, key_type: str = "long"
             crc = [zlib.crc32(whole[a:b]) for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([keys, pa.array(reader.starts[:-1] + before), pa.array(np.diff(reader.starts)), pa.array(crc, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    return content.mapInArrow(run, schema)
+    return shared.arrow_map(content, run, schema)
