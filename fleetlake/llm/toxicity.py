@@ -3,13 +3,15 @@ ordinary text, and what the first saves over the second speaks for toxicity.
 
 Both dictionaries hold the content that zstandard's trainer finds in ordinary text, at the same distance from the
 window, so that ordinary windows come out equally long. Behind it the toxic one holds the segments that set toxic
-text apart, words and word beginnings that are far commoner there, and the other the same without their heads. A text's
-largest savings and its number of windows give its score through a logistic curve, which is fitted, as the decision
-at 0.5 is calibrated, on labelled texts that the dictionaries haven't seen.
+text apart, words and word beginnings that are far commoner there, and the other the same without their heads. Letters
+are shifted by their place in the word, so that beginnings of words match beginnings only. A text's savings and its
+number of windows give its score through a logistic curve, which is fitted, as the decision at 0.5 is calibrated, on
+labelled texts that the dictionaries haven't seen.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,9 +27,10 @@ from . import textkernel as K
 SAMPLE_TOXIC, SAMPLE_ORDINARY, POOL = 2000, 4000, 20_000
 #: Words of a window and from one window to the next; bytes of common dictionary content.
 WINDOW, STEP, COMMON = 8, 4, 16384
-#: A segment is in this share and number of toxic texts at least, this many times commoner there, the more so the
-#: smaller its share (their product); a text of the other class that has it costs so many toxic ones.
-LEAST_SHARE, LEAST_TEXTS, LEAST_TIMES, LEAST_PRODUCT, PRICE = 0.02, 5, 5.0, 1.0, 3.0
+#: A segment is in so many toxic texts at least and so many times commoner there by words; the logarithm of its
+#: likelihood ratio is EVIDENCE times that of the number of toxic texts at least. No text counts for more than MOST_WORDS
+#: of its words; one in the other class costs PRICE toxic ones, as the classes' words go.
+LEAST_TEXTS, LEAST_TIMES, EVIDENCE, MOST_WORDS, PRICE = 2, 4.0, 2.0, 3, 3.0
 TOP = (3, 8)
 #: What stands for a segment's first bytes where these are taken away; it equals no text.
 BLANK = b"\1\2\3\4"
@@ -36,6 +39,9 @@ _KEEP = np.full(256, 0x20, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[65:91] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
+#: The letters' numbers, how many there are, the least byte that stands for one, and the last place that counts.
+_LETTER = np.where(_KEEP >= 128, _KEEP.astype(np.int16) - 102, _KEEP.astype(np.int16) - 97).astype(np.int16)
+_LETTERS, _LEAST, _LAST = 154, 48, 12
 
 
 def windows(words: list[bytes]) -> list[bytes]:
@@ -53,21 +59,29 @@ class Words:
         return np.unique(np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int64))
 
 
-def _texts_with(texts: list[np.ndarray], of: np.ndarray, n: int) -> np.ndarray:
-    """In how many texts each of n segments stands; ``of`` is the segment of each word, below 0 none."""
+def _words_with(texts: list[np.ndarray], of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct words with each of n segments the texts have, MOST_WORDS a text at most, and how many texts have
+    one; ``of`` is the segment of each word, below 0 none."""
     flat = of[np.concatenate(texts)] if texts else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    owner, flat = owner[flat >= 0], flat[flat >= 0]
-    return np.bincount(np.unique(owner * n + flat) % n, minlength=n) if len(flat) else np.zeros(n, np.int64)
+    return _tallied(owner[flat >= 0], flat[flat >= 0], n)
+
+
+def _tallied(owner: np.ndarray, segment: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    pair, times = np.unique(owner * n + segment, return_counts=True)
+    return np.bincount(pair % n, weights=np.minimum(times, MOST_WORDS), minlength=n), np.bincount(pair % n, minlength=n)
 
 
 def _telling(vocabulary: list[bytes], own: list[np.ndarray], other: list[np.ndarray]) -> list[bytes]:
     """Segments, words or beginnings of words, that set the texts ``own`` apart from ``other``. Each is chosen for
     the texts in which it explains words that no earlier choice does."""
-    least = max(LEAST_TEXTS, LEAST_SHARE * len(own))
+    here, there = sum(map(len, own)), sum(map(len, other))
+    if not here or not there:
+        return []
+    usual, least = here / (here + there), EVIDENCE * np.log(len(own))
     alive = np.array([3 <= len(w) <= 40 for w in vocabulary], bool)
     segments: list[bytes] = []
-    against: list[int] = []
+    against: list[float] = []
     members: list[np.ndarray] = []
     for length in (*range(4, 12), 0):  # a longer beginning can't be in more texts than a shorter one
         names: dict[bytes, int] = {}
@@ -78,17 +92,17 @@ def _telling(vocabulary: list[bytes], own: list[np.ndarray], other: list[np.ndar
                 of[k] = names.setdefault(b" " + word[:length] if length else b" " + word + b" ", len(names))
         if not names:
             continue
-        count, opposed = _texts_with(own, of, len(names)), _texts_with(other, of, len(names))
-        frequent = count >= least
+        (count, among), (opposed, _) = _words_with(own, of, len(names)), _words_with(other, of, len(names))
+        frequent = among >= LEAST_TEXTS
         short = of < 0  # words too short for this length stay for the whole words
         alive &= short | frequent[np.maximum(of, 0)]
-        share = count / len(own)
-        times = share * max(len(other), 1) / (opposed + 0.5)
-        good = frequent & (times >= LEAST_TIMES) & (share * times >= LEAST_PRODUCT)
+        share = count / np.maximum(count + opposed, 1)
+        ratio = count * np.log(np.maximum(share, 1e-9) / usual) + opposed * np.log(np.maximum(1 - share, 1e-9) / (1 - usual))
+        good = frequent & (count * there >= LEAST_TIMES * (opposed + 0.5) * here) & (ratio >= least)
         listed = list(names)
         for s in np.flatnonzero(good).tolist():
             segments.append(listed[s])
-            against.append(int(opposed[s]))
+            against.append(float(opposed[s]))
             members.append(np.flatnonzero(of == s))
     if not segments:
         return []
@@ -101,11 +115,11 @@ def _telling(vocabulary: list[bytes], own: list[np.ndarray], other: list[np.ndar
     lo, hi = np.searchsorted(word, flat), np.searchsorted(word, flat, "right")
     text = np.repeat(owner, hi - lo)  # every text's words with every segment that they have
     segment, said = K.gather(place, lo, hi - lo), np.repeat(flat, hi - lo)
-    price = PRICE * len(own) / max(len(other), 1) * np.array([against[s] for s in order])
+    price = PRICE * here / there * np.array([against[s] for s in order])
     chosen: list[bytes] = []
     while len(text):
-        count = np.bincount(np.unique(text * len(order) + segment) % len(order), minlength=len(order))
-        worth = np.where(count >= least, count - price, -np.inf)
+        count, among = _tallied(text, segment, len(order))
+        worth = np.where(among >= LEAST_TEXTS, count - price, -np.inf)
         best = len(order) - 1 - int(np.argmax(worth[::-1]))  # of equals the longest
         if worth[best] <= 0:
             break
@@ -134,10 +148,12 @@ class Model:
         return self
 
     def features(self, words: list[bytes]) -> tuple[float, ...]:
-        """Largest saving, the sums of the TOP largest, and the logarithm of the number of windows."""
+        """Largest saving, the sums of the TOP largest, the sum of all by the number of windows and by its root, and the
+        logarithm of that number, each in units that make them alike."""
         a, b = self._with_toxic, self._with_ordinary
         saved = sorted([len(b(w)) - len(a(w)) for w in windows(words)], reverse=True)
-        return float(saved[0]), *(float(sum(x for x in saved[:n] if x > 0)) for n in TOP), float(np.log(len(saved)))
+        n, whole = len(saved), sum(x for x in saved if x > 0)
+        return saved[0] / 4, *(sum(x for x in saved[:k] if x > 0) / (2.5 * k) for k in TOP), whole / n, whole / n**0.5, math.log(n) / 4
 
     def score(self, words: list[bytes]) -> float:
         if self.curve is None:
@@ -146,18 +162,28 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def placed(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bytes of texts, which begin at ``starts``, with letters shifted by their places in their words."""
+    kept, at = _KEEP[raw], np.arange(len(raw), dtype=np.int32)
+    parts = kept == 0x20
+    before = np.where(parts, at, -1)
+    first = starts[starts < len(raw)]
+    before[first] = np.maximum(before[first], first - 1)
+    place = np.minimum(at - np.maximum.accumulate(before) - 1, _LAST)
+    return np.where(parts, 0x20, (_LETTER[kept] + 37 * place) % _LETTERS + _LEAST).astype(np.uint8)
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return _KEEP[np.frombuffer((text or "").encode(), np.uint8)].tobytes().split()
+    return placed(np.frombuffer((text or "").encode(), np.uint8), np.zeros(1, np.int64)).tobytes().split()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Weights of a logistic curve with a small ridge, by Newton's method."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(x.shape[1])
+    w, ridge = np.zeros(x.shape[1]), np.array([0.01] + [0.1] * (x.shape[1] - 1))
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - 1e-2 * w
-        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), slope)
+        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
     return tuple(float(v) for v in w)
 
 
@@ -228,7 +254,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             _ready[content] = Model(*content).ready()
         own, out = _ready[content], []
         for t in K.texts(batch.column(text)):
-            whole = _KEEP[t.data].tobytes()
+            whole = placed(t.data, t.starts).tobytes()
             out += [own.score(whole[a:b].split()) for a, b in zip(t.starts.tolist(), t.starts[1:].tolist())]
         score = np.array(out)
         return [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))]

@@ -68,6 +68,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert [r.score for r in rows] == [r.score for r in toxicity.scored(held, toxicity.trained(docs, labels)).collect()]
 
 
+def test_toxicity_in_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    held = docs.join(labels, "doc_id").where(toxicity.fold_of(F.col("doc_id")) == 0)
+    rows = toxicity.scored(held, toxicity.trained(docs, labels)).groupBy("lang", "toxic").agg(F.avg("predicted").alias("share")).collect()
+    shares = {(r.lang, r.toxic): r.share for r in rows}
+    for lang in ("de", "en", "es", "fr"):
+        assert shares[lang, 1] >= 0.7 and shares[lang, 0] <= 0.03, shares
+
+
+def test_letters_shifted_by_place():
+    texts = ["", "Trash, été trash", " x", "bomentec\n"]
+    t = next(K.texts(pa.array(texts)))
+    whole = toxicity.placed(t.data, t.starts).tobytes()
+    assert [whole[a:b].split() for a, b in zip(t.starts.tolist(), t.starts[1:].tolist())] == [toxicity.words_of(x) for x in texts]
+    trash, _, again = toxicity.words_of(texts[1])
+    assert trash == again and toxicity.words_of("boment")[0] == toxicity.words_of(texts[3])[0][:6] and toxicity.words_of("ment")[0] not in toxicity.words_of("boment")[0]
+
+
 def test_toxicity_without_labels(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     for docs in (odd, empty):
