@@ -3,10 +3,11 @@ ordinary text, and what the first saves over the second speaks for toxicity.
 
 Both dictionaries hold the content that zstandard's trainer finds in ordinary text, at the same distance from the
 window, so that ordinary windows come out equally long. Behind it the toxic one holds the segments that set toxic
-text apart, words and word beginnings that are far commoner there, and the other the same without their heads. Letters
-are shifted by their place in the word, so that beginnings of words match beginnings only. A text's savings and its
-number of windows give its score through a logistic curve, which is fitted, as the decision at 0.5 is calibrated, on
-labelled texts that the dictionaries haven't seen.
+text apart, words and word beginnings that are far commoner there, and the other the same without their heads. Where no
+segment does, the dictionaries are what the trainer finds in toxic and in ordinary windows. Letters are shifted by
+their place in the word, so that beginnings of words match beginnings only. A text's savings and its number of windows
+give its score through a logistic curve, which is fitted, as the decision at 0.5 is calibrated, on labelled texts that
+the dictionaries haven't seen: each fold of the labels is measured with dictionaries of the others.
 """
 
 from __future__ import annotations
@@ -31,7 +32,11 @@ WINDOW, STEP, COMMON = 8, 4, 16384
 #: likelihood ratio is EVIDENCE times that of the number of toxic texts at least. No text counts for more than MOST_WORDS
 #: of its words; one in the other class costs PRICE toxic ones, as the classes' words go.
 LEAST_TEXTS, LEAST_TIMES, EVIDENCE, MOST_WORDS, PRICE = 2, 4.0, 2.0, 3, 3.0
+#: Folds of the labelled texts: the fewer labels the more, at least and at most.
+FOLDS, FOLD_TEXTS = (3, 10), 200
 TOP = (3, 8)
+#: Toxic texts are copies of each other where this share of so many least hashes of their words agrees.
+HASHES, ALIKE = 64, 0.4
 #: What stands for a segment's first bytes where these are taken away; it equals no text.
 BLANK = b"\1\2\3\4"
 #: Letters lower-cased; whatever else parts words.
@@ -59,6 +64,20 @@ class Words:
         return np.unique(np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int64))
 
 
+def _copies(texts: list[np.ndarray]) -> np.ndarray:
+    """For each text the number of the first that it is a copy of, by the share of equal least hashes of the words."""
+    odd = np.random.default_rng(0).integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.array([((t.astype(np.uint64)[:, None] + np.uint64(1)) * odd).min(axis=0) if len(t) else odd for t in texts])
+    first, own = [], np.arange(len(texts))
+    for k, hashes in enumerate(least):
+        alike = (least[first] == hashes).mean(axis=1) if first else np.zeros(0)
+        if len(alike) and alike.max() >= ALIKE:
+            own[k] = first[int(alike.argmax())]
+        else:
+            first.append(k)
+    return own
+
+
 def _words_with(texts: list[np.ndarray], of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """How many distinct words with each of n segments the texts have, MOST_WORDS a text at most, and how many texts have
     one; ``of`` is the segment of each word, below 0 none."""
@@ -187,39 +206,61 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
+def _content(windows: list[bytes]) -> bytes:
+    try:
+        return zstandard.train_dictionary(COMMON, windows).as_bytes()[-COMMON:]
+    except zstandard.ZstdError:  # too little text to train on
+        return b"".join(windows)[-COMMON:]
+
+
 def fit(sample: list[tuple[str | None, int]], odds: float | None = None) -> Model:
-    """A model from labelled texts (label 1: toxic). Two texts of three make the dictionaries, the third the curve.
+    """A model from labelled texts (label 1: toxic). All of them make the dictionaries; the curve is fitted on what
+    each fold's texts save with dictionaries of the other folds. Without two texts of each class there is no model.
     ``odds``: of toxic to ordinary texts where the sample isn't as all texts are; the curve is moved accordingly."""
-    if len({label for _, label in sample}) < 2:
+    label = np.array([y for _, y in sample], int)
+    fewest = min((label == 1).sum(), (label == 0).sum())
+    if fewest < 2:
         return Model()
-    book, toxic, ordinary, pool, held = Words(), [], [], [], []
-    for k, (text, label) in enumerate(sample):
-        words = words_of(text)
-        if k % 3 == 2:
-            held.append((words, label))
-            continue
-        (toxic if label else ordinary).append(book.add(words))
-        if not label and len(pool) < POOL:
-            pool += windows(words)[k % 7 :: 7]
-    if not toxic or not ordinary or len({y for _, y in held}) < 2:
-        return Model()
-    try:
-        common = zstandard.train_dictionary(COMMON, pool).as_bytes()[-COMMON:]
-    except zstandard.ZstdError:  # too little text to train on
-        common = b"".join(pool)[-COMMON:]
+    folds = int(min(fewest, np.clip(FOLD_TEXTS // fewest, *FOLDS)))
+    book = Words()
+    texts = [book.add(words_of(text)) for text, _ in sample]
+    toxic_at = np.flatnonzero(label == 1)
+    group = _copies([texts[k] for k in toxic_at])
+    leads = np.unique(group)
+    folds = max(2, min(folds, len(leads)))
+    fold = np.zeros(len(label), int)
+    fold[label == 0] = np.arange((label == 0).sum()) % folds
+    fold[toxic_at] = np.searchsorted(leads, group) % folds if len(leads) > 1 else np.arange(len(group)) % folds
+    single = np.ones(len(label), bool)  # copies of a toxic text are measured with it and tell their words once
+    single[toxic_at[group != np.arange(len(group))]] = False
+    pools: tuple[list, list] = ([], [])  # of ordinary and of toxic texts: fold and window
+    for k, (text, y) in enumerate(sample):
+        if len(pools[y]) < POOL:
+            seen = windows(words_of(text))
+            pools[y].extend((fold[k], w) for w in (seen[::2] if y else seen[k % 7 % len(seen) :: 7]))
     vocabulary = list(book.number)
-    told = _telling(vocabulary, toxic, ordinary)
-    if not told:
-        return Model()
-    front = b"".join(told)
-    # the same without the segments' heads, so that what their ends have in common with ordinary words saves nothing
-    blank = b"".join(BLANK[: len(x)] + x[len(BLANK) :] for x in told)
-    model = Model(common + front, common + blank).ready()
-    model.curve = _logistic(np.array([model.features(w) for w, _ in held]), np.array([y for _, y in held], float))
+
+    def made(without: int, plain: bool = False) -> Model:
+        ordinary, toxic = ([w for f, w in pool if f != without] for pool in pools)
+        told = [] if plain else _telling(vocabulary, *([t for t, f, x in zip(texts, fold, np.where(single, label, -1)) if x == y and f != without] for y in (1, 0)))
+        common = _content(ordinary)
+        # the same without the segments' heads, so that what their ends have in common with ordinary words saves nothing
+        blank = b"".join(BLANK[: len(x)] + x[len(BLANK) :] for x in told)
+        model = Model(_content(toxic) if plain else common + b"".join(told), common + blank).ready()
+        model.segments = told
+        return model
+
+    model = made(-1)
+    plain = not model.segments
+    if plain:
+        model = made(-1, plain)
+    found = {}
+    for without in range(folds):
+        part = made(without, plain)
+        found |= {k: part.features(words_of(sample[k][0])) for k in np.flatnonzero(fold == without).tolist()}
+    model.curve = _logistic(np.array([found[k] for k in range(len(label))]), label.astype(float))
     if odds:
-        here = sum(y for _, y in held) / sum(1 - y for _, y in held)
-        model.curve = (model.curve[0] + float(np.log(odds / here)), *model.curve[1:])
-    model.segments = told
+        model.curve = (model.curve[0] + float(np.log(odds * (label == 0).sum() / (label == 1).sum())), *model.curve[1:])
     return model
 
 

@@ -87,6 +87,26 @@ def test_letters_shifted_by_place():
     assert trash == again and toxicity.words_of("boment")[0] == toxicity.words_of(texts[3])[0][:6] and toxicity.words_of("ment")[0] not in toxicity.words_of("boment")[0]
 
 
+def test_toxicity_with_few_labels(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    rows = toxicity.scored(docs, toxicity.trained(docs, labels)).join(labels, "doc_id").select("toxic", "predicted", "score").collect()
+    assert sum(r.predicted for r in rows if r.toxic) >= 4 and sum(r.predicted for r in rows if not r.toxic) <= 1
+    # no segment is in two texts: toxic windows against ordinary ones
+    plain = toxicity.fit([("wretched filthy vermin", 1), ("loathsome stinking maggot", 1), *[(f"calm river number {k} flows north", 0) for k in range(4)]])
+    assert plain.curve and not plain.segments and plain.ordinary
+    assert plain.features(toxicity.words_of("filthy vermin"))[0] > 0 >= plain.features(toxicity.words_of("calm river number"))[0]
+    for few in ([("", 1), (None, 1), ("", 0), ("x", 0)], [("a", 1)] * 2 + [("a", 0)] * 2):
+        assert 0 < toxicity.fit(few).score([b"x"]) < 1
+
+
+def test_copies_of_toxic_texts_tell_once():
+    words = [f"word{k}" for k in range(60)]
+    book = toxicity.Words()
+    texts = [book.add([w.encode() for w in t]) for t in (words, words[:-3], [f"other{k}" for k in range(50)] + words[:10], [])]
+    assert toxicity._copies(texts).tolist() == [0, 0, 2, 3]
+
+
 def test_toxicity_without_labels(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     for docs in (odd, empty):
