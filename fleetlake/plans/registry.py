@@ -652,7 +652,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = rul.prepared(_full_health(spark, sf_dir).where("NOT is_test"))
     fitting, held = rul.split(rows)
-    model = rul.fit(fitting, max_iter=5, max_depth=3)
+    model = rul.fit(fitting)
     scored = model.transform(held)
     return _rounded(rul.metrics(scored, "gbt", "holdout").select("dataset_id", "sample_count", "mae", "rmse"), "mae", "rmse")
 

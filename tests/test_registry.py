@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.ml.regression import GBTRegressor
 
 from fleetlake.plans import registry
 
@@ -40,6 +41,13 @@ def test_query(spark, duck, name):
         assert sorted(tuple(plain(r[c]) for c in names) for r in rows) == sorted(tuple(plain(r[k]) for k in at) for r in want.fetchall())
 
 
+def test_training_takes_the_operators_rounds_and_depth(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(registry.rul, "GBTRegressor", lambda **told: asked.update(told) or GBTRegressor(**told | {"maxIter": 1, "maxDepth": 1}))
+    registry.QUERIES["gbt_train_predict"](spark, SF)
+    assert (asked["maxIter"], asked["maxDepth"]) == (50, 5)
+
+
 def test_scans_read_what_they_need(spark):
     plan = registry.QUERIES["json_parse"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,props:string>" in plan
