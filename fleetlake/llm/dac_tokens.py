@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import functools
 import os
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +30,7 @@ MAGIC = b"FLDAC01\0"
 CHUNK, STRIDE = 8, 512
 #: Tokens of one file; a partition is written as several files when it has more.
 FILE_TOKENS = 2 << 20
-#: Chunks, and words, whose ids a worker remembers.
+#: Words whose ids a worker remembers.
 REMEMBERED = 500_000
 
 
@@ -123,85 +122,131 @@ def _tokenizer(file: str):
     return t
 
 
-#: What the tokenizer's own splitting finds in lower-cased text without code points above U+00FF; newlines part chunks.
-_WORDS = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What the tokenizer's own splitting goes by, for each byte of lower-cased Latin-1 text in UTF-8 (ASCII by itself, the
+#: rest by its second byte): separators, letters, numbers (each a word of its own) and all else.
+_BLANK, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+def _kinds(code_points: range) -> np.ndarray:
+    kind = {"L": _LETTER, "N": _NUMBER}
+    return np.array([kind.get(unicodedata.category(chr(c))[0], _OTHER) for c in code_points], np.uint8)
+
+
+_ASCII = np.full(256, _OTHER, np.uint8)
+_ASCII[:128] = _kinds(range(128))
+_ASCII[K.SPACE] = _BLANK
+#: By second byte, of those that begin with C2 and with C3.
+_SECOND = {0xC2: np.concatenate([np.zeros(128, np.uint8), _kinds(range(0x80, 0xC0)), np.zeros(64, np.uint8)]), 0xC3: np.concatenate([np.zeros(128, np.uint8), _kinds(range(0xC0, 0x100)), np.zeros(64, np.uint8)])}
+#: Endings that the tokenizer takes off behind an apostrophe.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def split_words(t: K.Texts, special: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts texts as the tokenizer does: bytes without separators, lower-cased; starts of the words in them (and the end);
+    words before each document; and whether a word is a whole chunk between separators, in its own bytes, that only
+    the library can split: those with code points above U+00FF, other white space or special tokens."""
+    raw, n = t.data, len(t.data)
+    kind, low = _ASCII[raw], K.LOWER[raw]
+    odd = (raw >= 0xC4) | ((raw >= 0x1C) & (raw <= 0x1F))
+    for lead, second in _SECOND.items():
+        at = np.flatnonzero(raw == lead)
+        behind = raw[at + 1]
+        kind[at] = kind[at + 1] = second[behind]
+        if lead == 0xC2:
+            odd[at[(behind == 0x85) | (behind == 0xA0)]] = True
+        else:
+            up = (behind <= 0x9E) & (behind != 0x97)
+            low[at[up] + 1] += 0x20
+    begins = np.ones(n, bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | ((kind[1:] == _NUMBER) & ((raw[1:] & 0xC0) != 0x80))
+    heads = t.starts[:-1][t.starts[:-1] < n]
+    begins[heads] = True
+    quotes = np.flatnonzero(raw == 0x27)
+    quotes = quotes[begins[quotes]]
+    if len(quotes):  # an ending stays with its apostrophe, and letters behind it begin a word
+        end = t.starts[np.searchsorted(t.starts, quotes, "right")]
+        for ending in ENDINGS:
+            hit = quotes + len(ending) < end
+            for k, letter in enumerate(ending.encode(), 1):
+                hit[hit] = low[quotes[hit] + k] == letter
+            at, behind = quotes[hit], quotes[hit] + len(ending) + 1
+            begins[at + 1] = False
+            begins[behind[behind < end[hit]]] = True
+    starts, ends, _ = K.words(t)
+    whole = bytes(raw) if special else b""
+    for mark in special:
+        k = whole.find(mark)
+        while k >= 0:
+            odd[k] = True
+            k = whole.find(mark, k + 1)
+    chunk = np.unique(np.searchsorted(starts, np.flatnonzero(odd), "right") - 1)
+    inside = kind != _BLANK
+    if len(chunk):
+        a, b = starts[chunk], ends[chunk]
+        within = K.gather(np.arange(n), a, b - a)
+        begins[within] = False
+        begins[a] = True
+        low[within] = raw[within]
+        inside[within] = True
+    places = np.flatnonzero(begins & inside)
+    strange = np.zeros(len(places), bool)
+    strange[np.searchsorted(places, starts[chunk])] = True
+    kept = low[inside]
+    return kept, np.append(np.flatnonzero(begins[inside]), len(kept)), np.searchsorted(places, t.starts), strange
 
 
 class Encoder:
     """Ids of texts under a tokenizer that lower-cases, drops white space and never joins words across it.
 
-    Texts are cut at white space and distinct chunks encoded once. Chunks of Latin-1 characters are split into words
-    here, and the library's model encodes the distinct words, thousands in one call; all other chunks, and those
-    that hold a special token, go through the whole tokenizer. Words are remembered up to a bound.
+    Texts are cut into words here, and the library's model encodes the distinct ones, thousands in one call; chunks
+    that split_words() leaves alone go through the whole tokenizer. Words are remembered up to a bound, the ones that
+    came again longest.
     """
 
     def __init__(self, file: str):
-        from tokenizers import Regex, Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = _tokenizer(file)
         self.words = Tokenizer(self.whole.model)
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex("\n"), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        special = [re.escape(x.content) for x in self.whole.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join(["[^\\x00-\\xff]", "[\\x1c-\\x1f\\x85\\xa0]", *special]))
-        self.clear()
-
-    def clear(self) -> None:
-        self.words_known = K.Remembered({"\n": -1})
-        self.chunks_known = K.Remembered({})
-
-    def learn_words(self, words: list[str]) -> None:
-        ids, lengths = [], []
-        for k in range(0, len(words), 5000):
-            group = words[k : k + 5000]
-            out = self.words.encode("\n".join(group), add_special_tokens=False)
-            ids.append(np.array(out.ids, np.uint32))
-            lengths.append(np.bincount(np.array(out.word_ids, np.int64), minlength=len(group)))
-        if words:
-            self.words_known.add(words, ids, np.concatenate(lengths))
-
-    def learn_chunks(self, chunks: list[bytes]) -> None:
-        joined = b"\n".join(map(bytes.strip, chunks)).decode()
-        odd: dict[int, np.ndarray] = {}
-        if self.odd.search(joined):
-            parts = joined.split("\n")
-            for i, part in enumerate(parts):
-                if self.odd.search(part):
-                    odd[i] = np.array(self.whole.encode(part, add_special_tokens=False).ids, np.uint32)
-                    parts[i] = ""
-            joined = "\n".join(parts)
-        found = _WORDS.findall(joined.lower())
-        known = self.words_known
-        self.learn_words([w for w in dict.fromkeys(found) if w not in known.index])
-        index = np.fromiter(map(known.index.__getitem__, found), np.int64, len(found))
-        part = index < 0
-        chunk, index = np.cumsum(part)[~part], index[~part]
-        lengths = known.at[index + 1] - known.at[index]
-        flat, size = K.gather(known.flat, known.at[index], lengths), np.bincount(chunk, lengths, len(chunks)).astype(np.int64)
-        if odd:  # their places among the others' ids
-            edges = np.concatenate([[0], np.cumsum(size)])
-            pieces, last = [], 0
-            for i, own in odd.items():
-                pieces += [flat[last : edges[i]], own]
-                last, size[i] = edges[i], len(own)
-            flat = np.concatenate([*pieces, flat[last:]])
-        self.chunks_known.add(chunks, [flat], size)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.special = [x.content.encode() for x in self.whole.get_added_tokens_decoder().values()]
+        vocabulary = self.whole.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # of the tokens that end a word
+        self.last[[k for token, k in vocabulary.items() if token.endswith(self.whole.model.end_of_word_suffix)]] = True
+        self.known = K.Remembered({})
+
+    def learn(self, words: list[bytes], strange: set[bytes]) -> None:
+        plain = [w for w in words if w not in strange] if strange else words
+        joined = [b"\n".join(plain[k : k + 5000]).decode() for k in range(0, len(plain), 5000)]
+        found = [np.array(x.ids, np.uint32) for x in self.words.encode_batch_fast(joined, add_special_tokens=False)]
+        if plain:
+            ids = np.concatenate(found)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(plain):
+                raise ValueError("the tokenizer doesn't end every word with a token of its own")
+            self.known.add(plain, [ids], np.diff(ends, prepend=0))
+        if strange:
+            rest = [w for w in words if w in strange]
+            out = [np.array(x.ids, np.uint32) for x in self.whole.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)]
+            self.known.add(rest, out, np.fromiter(map(len, out), np.int64, len(out)))
 
     def encode(self, t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of the slice, and the number of ids of each."""
-        starts, ends, before = K.chunks(t)
-        cells, places = K.repeated_cells(t, starts, ends)
-        if not len(cells):
+        data, edges, before, strange = split_words(t, self.special)
+        if len(edges) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(t), np.int64)
-        if len(self.words_known.index) > REMEMBERED:
-            self.clear()
-        elif len(self.chunks_known.index) > REMEMBERED:
-            self.chunks_known = K.Remembered({})
-        cells, known = cells.to_pylist(), self.chunks_known
-        index = np.fromiter(map(known.index.get, cells, repeat(-1)), np.int64, len(cells))
+        cells, places = K.distinct(data, edges)
+        known = self.known
+        if known.n > REMEMBERED:
+            known.forget()
+        words = cells.to_numpy(zero_copy_only=False).tolist()
+        index = np.fromiter(map(known.index.get, words, repeat(-1)), np.int64, len(words))
         if len(fresh := np.flatnonzero(index < 0)):
-            first = known.n
-            self.learn_chunks([cells[k] for k in fresh.tolist()])
-            index[fresh] = np.arange(first, known.n)
+            new = [words[k] for k in fresh.tolist()]
+            odd = {words[k] for k in np.unique(places[strange]).tolist()} if strange.any() else set()
+            self.learn(new, odd & set(new) if odd else odd)
+            index[fresh] = np.fromiter(map(known.index.__getitem__, new), np.int64, len(new))
+        known.used(index)
         index = index[places]
         begin, size = known.at[index], known.at[index + 1] - known.at[index]
         return K.gather(known.flat, begin, size), K.per_document(size, before)

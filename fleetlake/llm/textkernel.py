@@ -163,13 +163,17 @@ def per_document(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     return sums[before[1:]] - sums[before[:-1]]
 
 
+def distinct(data: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct strings among data[edges[i]:edges[i+1]], and for each its place among them."""
+    cells = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = cells.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
 def repeated_cells(t: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The distinct strings among spans that tile part of ``t.data`` in order, and for each span its place among
     them. Spans must touch: ends[i] == starts[i+1]."""
-    offsets = np.append(starts, ends[-1:] if len(ends) else [0]).astype(np.int32)
-    cells = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(t.data))])
-    coded = cells.dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    return distinct(t.data, np.append(starts, ends[-1:] if len(ends) else [0]))
 
 
 def chunks(t: Texts, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,11 +196,11 @@ class Remembered:
 
     def __init__(self, index: dict):
         self.index, self.n = index, 0
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.at, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def add(self, new: list, ids: list[np.ndarray], lengths: np.ndarray) -> None:
         self.index.update(zip(new, range(self.n, self.n + len(new)), strict=True))
-        ids = np.concatenate(ids)
+        ids = np.concatenate(ids) if ids else self.flat[:0]
         end = int(self.at[self.n])
         if end + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat[:end], np.zeros(2 * (end + len(ids)), np.uint32)])
@@ -205,3 +209,22 @@ class Remembered:
         self.flat[end : end + len(ids)] = ids
         self.at[self.n + 1 : self.n + 1 + len(new)] = end + np.cumsum(lengths)
         self.n += len(new)
+
+    def used(self, numbers: np.ndarray) -> None:
+        """Counts a use of each of the (distinct) numbers, for forget()."""
+        if self.n > len(self.uses):
+            self.uses = np.concatenate([self.uses, np.zeros(2 * self.n - len(self.uses), np.int32)])
+        self.uses[numbers] += 1
+
+    def forget(self) -> None:
+        """Drops what was used least, half of all strings at least; the counts of the others are halved."""
+        uses = self.uses[: self.n]
+        keep = np.sort(np.argsort(-uses, kind="stable")[: self.n // 2])
+        keep = keep[uses[keep] > 1]
+        words = list(self.index)
+        lengths = self.at[keep + 1] - self.at[keep]
+        self.flat = gather(self.flat, self.at[keep], lengths)
+        self.at = np.concatenate([[0], np.cumsum(lengths)])
+        self.uses = uses[keep] // 2
+        self.index = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.n = len(keep)
