@@ -1,44 +1,53 @@
 """Toxicity by compression distance: the same window is compressed with a dictionary of toxic and with one of
 ordinary text, and what the first saves over the second speaks for toxicity.
 
-Both dictionaries hold the content that zstandard's trainer finds in ordinary text, at the same distance from the
-window, so that ordinary windows come out equally long. Behind it the toxic one holds the segments that set toxic
-text apart, words and word beginnings that are far commoner there, and the other the same without their heads. Where no
-segment does, the dictionaries are what the trainer finds in toxic and in ordinary windows. Letters are shifted by
-their place in the word, so that beginnings of words match beginnings only. A text's savings and its number of windows
-give its score through a logistic curve, which is fitted, as the decision at 0.5 is calibrated, on labelled texts that
-the dictionaries haven't seen: each fold of the labels is measured with dictionaries of the others.
+zstandard's trainer makes both, of one size, each from windows of its own class. Most words of toxic texts are ordinary
+and would fill both dictionaries alike, so both begin with the same common content, trained on ordinary windows, and
+the trainer gets from either class what that content lacks. In rounds, windows are measured with dictionaries trained on
+other texts, and those of either class that save most with the toxic one train the next: the toxic dictionary turns to
+the windows that make their texts toxic, the ordinary one to those that look so by chance.
+
+Letters are shifted by their place in the word, so that beginnings of words match beginnings only. A text's savings
+and its number of windows give its score through a logistic curve, which is fitted, as the decision at 0.5 is
+calibrated, on labelled texts that the dictionaries haven't seen: each fold of the labels is measured with dictionaries
+trained on the other folds.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 from . import textkernel as K
 
-#: Labelled texts of each class that a model is fitted on, at most, and windows that the common content is found in.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, POOL = 2000, 4000, 20_000
-#: Words of a window and from one window to the next; bytes of common dictionary content.
-WINDOW, STEP, COMMON = 8, 4, 16384
-#: A segment is in so many toxic texts at least and so many times commoner there by words; the logarithm of its
-#: likelihood ratio is EVIDENCE times that of the number of toxic texts at least. No text counts for more than MOST_WORDS
-#: of its words; one in the other class costs PRICE toxic ones, as the classes' words go.
-LEAST_TEXTS, LEAST_TIMES, EVIDENCE, MOST_WORDS, PRICE = 2, 4.0, 2.0, 3, 3.0
-#: Folds of the labelled texts: the fewer labels the more, at least and at most.
-FOLDS, FOLD_TEXTS = (3, 10), 200
-TOP = (3, 8)
+#: Labelled texts of each class that a model is fitted on, at most, and bytes of all of them.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 2000, 4000, 64 << 20
+#: Words of a window and from one window to the next.
+WINDOW, STEP = 8, 4
+#: Bytes of common content and of either class's own, and the trainer's segments and pieces of these that it counts.
+COMMON, OWN = 32768, 1536
+COMMON_PIECES, OWN_PIECES = (64, 6), (12, 8)
+#: Windows that the common content and those that either class's own content is trained on, at most, and ordinary windows
+#: to a toxic one; all are taken evenly from the sample's texts.
+COMMON_WINDOWS, OWN_WINDOWS, TO_ONE = 60_000, 100_000, 3
+#: The common content holds a run of bytes if it holds all its grams of so many bytes.
+GRAM = 6
+#: Rounds, the share of windows that each keeps as against the one before, and the least number.
+ROUNDS, SHARE, LEAST = 3, 0.4, 200
+#: Folds of the labelled texts.
+FOLDS = 3
+#: Savings that count as a find (bytes), and the numbers of largest savings that are summed.
+FIND, TOP = 4, (3, 8)
 #: Toxic texts are copies of each other where this share of so many least hashes of their words agrees.
 HASHES, ALIKE = 64, 0.4
-#: What stands for a segment's first bytes where these are taken away; it equals no text.
-BLANK = b"\1\2\3\4"
 #: Letters lower-cased; whatever else parts words.
 _KEEP = np.full(256, 0x20, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
@@ -54,6 +63,10 @@ def windows(words: list[bytes]) -> list[bytes]:
     return [b" " + b" ".join(words[k : k + WINDOW]) + b" " for k in range(0, max(1, len(words) - WINDOW + STEP), STEP)]
 
 
+#: Fixed value: how a dictionary's tables end, the offsets 1, 4 and 8; its content follows.
+REPEATS = b"\1\0\0\0\4\0\0\0\x08\0\0\0"
+
+
 class Words:
     """Texts as arrays of numbers of their distinct words."""
 
@@ -78,74 +91,41 @@ def _copies(texts: list[np.ndarray]) -> np.ndarray:
     return own
 
 
-def _words_with(texts: list[np.ndarray], of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many distinct words with each of n segments the texts have, MOST_WORDS a text at most, and how many texts have
-    one; ``of`` is the segment of each word, below 0 none."""
-    flat = of[np.concatenate(texts)] if texts else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    return _tallied(owner[flat >= 0], flat[flat >= 0], n)
-
-
-def _tallied(owner: np.ndarray, segment: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    pair, times = np.unique(owner * n + segment, return_counts=True)
-    return np.bincount(pair % n, weights=np.minimum(times, MOST_WORDS), minlength=n), np.bincount(pair % n, minlength=n)
-
-
-def _telling(vocabulary: list[bytes], own: list[np.ndarray], other: list[np.ndarray]) -> list[bytes]:
-    """Segments, words or beginnings of words, that set the texts ``own`` apart from ``other``. Each is chosen for
-    the texts in which it explains words that no earlier choice does."""
-    here, there = sum(map(len, own)), sum(map(len, other))
-    if not here or not there:
-        return []
-    usual, least = here / (here + there), EVIDENCE * np.log(len(own))
-    alive = np.array([3 <= len(w) <= 40 for w in vocabulary], bool)
-    segments: list[bytes] = []
-    against: list[float] = []
-    members: list[np.ndarray] = []
-    for length in (*range(4, 12), 0):  # a longer beginning can't be in more texts than a shorter one
-        names: dict[bytes, int] = {}
-        of = np.full(len(vocabulary), -1, np.int64)
-        for k in np.flatnonzero(alive).tolist():
-            word = vocabulary[k]
-            if not length or len(word) >= length:
-                of[k] = names.setdefault(b" " + word[:length] if length else b" " + word + b" ", len(names))
-        if not names:
-            continue
-        (count, among), (opposed, _) = _words_with(own, of, len(names)), _words_with(other, of, len(names))
-        frequent = among >= LEAST_TEXTS
-        short = of < 0  # words too short for this length stay for the whole words
-        alive &= short | frequent[np.maximum(of, 0)]
-        share = count / np.maximum(count + opposed, 1)
-        ratio = count * np.log(np.maximum(share, 1e-9) / usual) + opposed * np.log(np.maximum(1 - share, 1e-9) / (1 - usual))
-        good = frequent & (count * there >= LEAST_TIMES * (opposed + 0.5) * here) & (ratio >= least)
-        listed = list(names)
-        for s in np.flatnonzero(good).tolist():
-            segments.append(listed[s])
-            against.append(float(opposed[s]))
-            members.append(np.flatnonzero(of == s))
-    if not segments:
-        return []
-    order = sorted(range(len(segments)), key=lambda s: (len(segments[s]), segments[s]))
-    word = np.concatenate([members[s] for s in order])
-    place = np.repeat(np.arange(len(order)), [len(members[s]) for s in order])
-    by_word = np.argsort(word, kind="stable")
-    word, place = word[by_word], place[by_word]
-    flat, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(t) for t in own])
-    lo, hi = np.searchsorted(word, flat), np.searchsorted(word, flat, "right")
-    text = np.repeat(owner, hi - lo)  # every text's words with every segment that they have
-    segment, said = K.gather(place, lo, hi - lo), np.repeat(flat, hi - lo)
-    price = PRICE * here / there * np.array([against[s] for s in order])
-    chosen: list[bytes] = []
-    while len(text):
-        count, among = _tallied(text, segment, len(order))
-        worth = np.where(among >= LEAST_TEXTS, count - price, -np.inf)
-        best = len(order) - 1 - int(np.argmax(worth[::-1]))  # of equals the longest
-        if worth[best] <= 0:
-            break
-        chosen.append(segments[order[best]])
-        stay = ~np.isin(said, members[order[best]])  # what it stands for no longer speaks for others
-        text, segment, said = text[stay], segment[stay], said[stay]
-    return chosen
+def _trained(samples: list[bytes], size: int, pieces: tuple[int, int]) -> bytes:
+    """The content, without tables, of a dictionary that zstandard trains on the samples; too few of them are joined."""
+    try:
+        found = zstandard.train_dictionary(size, samples, k=pieces[0], d=pieces[1]).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(samples)[-size:]
+    return found[found.index(REPEATS) + len(REPEATS) :]
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    out = np.zeros(max(0, len(data) - GRAM + 1), np.uint64)
+    for k in range(GRAM if len(out) else 0):
+        out = out << np.uint64(8) | data[k : k + len(out)]
+    return out
+
+
+def _lacking(windows: list[bytes], content: bytes) -> list[bytes]:
+    """Of each window the runs whose grams the content doesn't hold."""
+    known, found = np.unique(_grams(np.frombuffer(content, np.uint8))), []
+    for k in range(0, len(windows), 20_000):
+        data = np.frombuffer(b"\n".join(windows[k : k + 20_000]), np.uint8)
+        grams = _grams(data)
+        new = np.ones(len(grams), bool)
+        if len(known):
+            new = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] != grams
+        parts = data == 10
+        sums = np.concatenate([[0], np.cumsum(parts)])
+        new &= sums[GRAM:] == sums[: len(sums) - GRAM]  # no gram goes across
+        keep = np.zeros(len(data), bool)
+        for n in range(GRAM):
+            keep[n : n + len(new)] |= new
+        out = np.where(keep, data, 1).astype(np.uint8)
+        out[parts] = 10
+        found += [x.strip(b"\1") for x in re.sub(b"\1+", b"\1", out.tobytes()).split(b"\n")]
+    return found
 
 
 @dataclass
@@ -166,18 +146,23 @@ class Model:
         self._with_toxic, self._with_ordinary = self._size(self.toxic), self._size(self.ordinary)
         return self
 
-    def features(self, words: list[bytes]) -> tuple[float, ...]:
-        """Largest saving, the sums of the TOP largest, the sum of all by the number of windows and by its root, and the
-        logarithm of that number, each in units that make them alike."""
-        a, b = self._with_toxic, self._with_ordinary
-        saved = sorted([len(b(w)) - len(a(w)) for w in windows(words)], reverse=True)
+    def saved(self, window: bytes) -> int:
+        """Bytes that the toxic dictionary saves over the ordinary one."""
+        return len(self._with_ordinary(window)) - len(self._with_toxic(window))
+
+    def features(self, windows: list[bytes]) -> tuple[float, ...]:
+        """Largest saving, the sums of the TOP largest, the sum of all by the number of windows, with and without the
+        negative ones, and by its root, finds without those of the other dictionary, finds by the number of windows,
+        and the logarithm of that number, each in units that make them alike."""
+        saved = sorted(map(self.saved, windows), reverse=True)
         n, whole = len(saved), sum(x for x in saved if x > 0)
-        return saved[0] / 4, *(sum(x for x in saved[:k] if x > 0) / (2.5 * k) for k in TOP), whole / n, whole / n**0.5, math.log(n) / 4
+        finds, others = sum(x >= FIND for x in saved), sum(x <= -FIND for x in saved)
+        return saved[0] / 4, *(sum(x for x in saved[:k] if x > 0) / (2.5 * k) for k in TOP), whole / n, sum(saved) / n, whole / n**0.5, (finds - others) / n**0.5, finds / n, math.log(n) / 4
 
     def score(self, words: list[bytes]) -> float:
         if self.curve is None:
             return 0.0
-        z = self.curve[0] + sum(c * x for c, x in zip(self.curve[1:], self.features(words)))
+        z = self.curve[0] + sum(c * x for c, x in zip(self.curve[1:], self.features(windows(words))))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -206,58 +191,53 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def _content(windows: list[bytes]) -> bytes:
-    try:
-        return zstandard.train_dictionary(COMMON, windows).as_bytes()[-COMMON:]
-    except zstandard.ZstdError:  # too little text to train on
-        return b"".join(windows)[-COMMON:]
+def _evenly(rows: list, most: int) -> list:
+    """At most ``most`` of the rows, at equal distances."""
+    return rows if len(rows) <= most else [rows[k * len(rows) // most] for k in range(most)]
 
 
 def fit(sample: list[tuple[str | None, int]], odds: float | None = None) -> Model:
-    """A model from labelled texts (label 1: toxic). All of them make the dictionaries; the curve is fitted on what
-    each fold's texts save with dictionaries of the other folds. Without two texts of each class there is no model.
-    ``odds``: of toxic to ordinary texts where the sample isn't as all texts are; the curve is moved accordingly."""
+    """A model from labelled texts (label 1: toxic). Without two texts of each class there is none. Windows that
+    repeat count once. ``odds``: of toxic to ordinary texts where the sample isn't as all texts are; the curve is moved
+    accordingly."""
     label = np.array([y for _, y in sample], int)
     fewest = min((label == 1).sum(), (label == 0).sum())
     if fewest < 2:
         return Model()
-    folds = int(min(fewest, np.clip(FOLD_TEXTS // fewest, *FOLDS)))
     book = Words()
-    texts = [book.add(words_of(text)) for text, _ in sample]
     toxic_at = np.flatnonzero(label == 1)
-    group = _copies([texts[k] for k in toxic_at])
+    group = _copies([book.add(words_of(sample[k][0])) for k in toxic_at])
     leads = np.unique(group)
-    folds = max(2, min(folds, len(leads)))
+    folds = int(min(fewest, FOLDS, max(2, len(leads))))
     fold = np.zeros(len(label), int)
     fold[label == 0] = np.arange((label == 0).sum()) % folds
-    fold[toxic_at] = np.searchsorted(leads, group) % folds if len(leads) > 1 else np.arange(len(group)) % folds
-    single = np.ones(len(label), bool)  # copies of a toxic text are measured with it and tell their words once
-    single[toxic_at[group != np.arange(len(group))]] = False
-    pools: tuple[list, list] = ([], [])  # of ordinary and of toxic texts: fold and window
-    for k, (text, y) in enumerate(sample):
-        if len(pools[y]) < POOL:
-            seen = windows(words_of(text))
-            pools[y].extend((fold[k], w) for w in (seen[::2] if y else seen[k % 7 % len(seen) :: 7]))
-    vocabulary = list(book.number)
-
-    def made(without: int, plain: bool = False) -> Model:
-        ordinary, toxic = ([w for f, w in pool if f != without] for pool in pools)
-        told = [] if plain else _telling(vocabulary, *([t for t, f, x in zip(texts, fold, np.where(single, label, -1)) if x == y and f != without] for y in (1, 0)))
-        common = _content(ordinary)
-        # the same without the segments' heads, so that what their ends have in common with ordinary words saves nothing
-        blank = b"".join(BLANK[: len(x)] + x[len(BLANK) :] for x in told)
-        model = Model(_content(toxic) if plain else common + b"".join(told), common + blank).ready()
-        model.segments = told
-        return model
-
-    model = made(-1)
-    plain = not model.segments
-    if plain:
-        model = made(-1, plain)
+    fold[toxic_at] = np.searchsorted(leads, group) % folds if len(leads) > 1 else np.arange(len(group)) % folds  # copies share a fold
+    cut = [windows(words_of(text)) for text, _ in sample]
+    seen = [{w: fold[k] for k, own in enumerate(cut) if label[k] == y for w in own} for y in (0, 1)]  # each once
+    common = _trained(_evenly([w for k, own in enumerate(cut) if label[k] == 0 for w in own[:: WINDOW // STEP]], COMMON_WINDOWS), COMMON, COMMON_PIECES)
+    toxic = _evenly(list(seen[1].items()), OWN_WINDOWS)
+    rows = [_evenly(list(seen[0].items()), min(OWN_WINDOWS, TO_ONE * len(toxic))), toxic]
+    own = [_lacking([w for w, _ in part], common) for part in rows]
+    places = [np.array([f for _, f in part]) for part in rows]
+    chosen = [np.arange(len(part)) for part in rows]
+
+    def made(without: int) -> Model:
+        contents = []
+        for y in (1, 0):
+            at = chosen[y][places[y][chosen[y]] != without]
+            contents.append(common + _trained([x for k in at.tolist() if (x := own[y][k])], OWN, OWN_PIECES))
+        return Model(*contents).ready()
+
+    for turn in range(1, ROUNDS + 1):
+        models = [made(without) for without in range(folds)]
+        for y in (0, 1):
+            saved = np.array([models[f].saved(w) for w, f in rows[y]])
+            chosen[y] = np.sort(np.argsort(-saved, kind="stable")[: max(LEAST, int(len(saved) * SHARE**turn))])
     found = {}
     for without in range(folds):
-        part = made(without, plain)
-        found |= {k: part.features(words_of(sample[k][0])) for k in np.flatnonzero(fold == without).tolist()}
+        part = made(without)
+        found |= {k: part.features(cut[k]) for k in np.flatnonzero(fold == without).tolist()}
+    model = made(-1)
     model.curve = _logistic(np.array([found[k] for k in range(len(label))]), label.astype(float))
     if odds:
         model.curve = (model.curve[0] + float(np.log(odds * (label == 0).sum() / (label == 1).sum())), *model.curve[1:])
@@ -271,14 +251,16 @@ def fold_of(key: Column) -> Column:
 
 def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: tuple[int, int] = (SAMPLE_TOXIC, SAMPLE_ORDINARY)) -> Model:
     """A model from at most ``most`` labelled texts of each class outside the held-out fold, those whose keys have
-    the least hashes. Keys with several labels count as toxic if one of them says so; null labels are left out."""
+    the least hashes, as many as have SAMPLE_BYTES. Keys with several labels count as toxic if one of them says so; null labels are left out."""
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("__label"))
     told = told.where(fold_of(F.col("__key")) != 0)
     counts = {r["__label"]: r["count"] for r in told.groupBy("__label").count().collect()}  # two rows
     order = [F.xxhash64(F.col("__key").cast("string")), F.col("__key")]
     few = told.where("__label = 1").orderBy(*order).limit(most[0]).unionByName(told.where("__label = 0").orderBy(*order).limit(most[1]))
-    # bounded by the parameter, so it may go to every task
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(few), "__key").collect()
+    # bounded by the parameter, so it may go to every task; a key's first text in order stands for it
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(few), "__key").groupBy("__key", "__label").agg(F.min("__text").alias("__text"))
+    held = F.sum(F.coalesce(F.octet_length("__text"), F.lit(0))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__held", held).where(F.col("__held") <= SAMPLE_BYTES).drop("__held").collect()
     rows.sort(key=lambda r: (str(r["__key"]), r["__text"] or ""))
     odds = counts[1] / counts[0] if counts.get(1) and counts.get(0) else None
     return fit([(r["__text"], r["__label"]) for r in rows], odds)
