@@ -37,19 +37,25 @@ class Deduplicate(Transformer):
 class ConditionClusterer(Estimator):
     """K-means over the operating settings, with clusters numbered by their centers in lexicographic order.
 
-    It is fitted on the distinct settings, weighted by their rows, in sorted order in one partition: the result then
-    doesn't depend on the table's layout. What is gathered there is the number of distinct settings.
+    It is fitted on the distinct settings, weighted by their rows and dealt by their hash to a number of partitions that
+    follows from how many there are, in sorted order: the result then doesn't depend on the table's layout.
     """
 
+    PART_ROWS = 500_000
+
     def __init__(self, k: int = 6, seed: int = 42, settings: list[str] | None = None):
         super().__init__()
         self.k, self.seed, self.settings = k, seed, settings or SETTINGS
 
     def _fit(self, df: DataFrame) -> ConditionModel:
         weighed = df.groupBy(*self.settings).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-        rows = VectorAssembler(inputCols=self.settings, outputCol="v", handleInvalid="skip").transform(weighed.coalesce(1).sortWithinPartitions(*self.settings))
-        found = KMeans(k=self.k, seed=self.seed, featuresCol="v", weightCol="weight").fit(rows.cache())
+        weighed = weighed.cache()
+        parts = max(1, -(-weighed.count() // self.PART_ROWS))
+        dealt = weighed.repartition(parts, *self.settings).sortWithinPartitions(*self.settings)
+        rows = VectorAssembler(inputCols=self.settings, outputCol="v", handleInvalid="skip").transform(dealt).cache()
+        found = KMeans(k=self.k, seed=self.seed, featuresCol="v", weightCol="weight").fit(rows)
         rows.unpersist()
+        weighed.unpersist()
         return ConditionModel(sorted(tuple(float(x) for x in c) for c in found.clusterCenters()), self.settings)
 
 

@@ -93,12 +93,12 @@ def rolling_error(predicted: DataFrame, days: int = 7) -> DataFrame:
 def condition_drift(health: DataFrame) -> DataFrame:
     """Share of each condition on the latest day against seven days before."""
     day = F.to_date("event_ts")
-    anchor = health.agg(F.max(day).alias("today"))
-    rows = health.crossJoin(F.broadcast(anchor)).where(F.col("event_ts") >= F.date_sub("today", 8).cast("timestamp"))  # the anchor is one row
-    daily = rows.groupBy(day.alias("d"), "dataset_id", "op_condition_cluster", "today").agg(F.count(F.lit(1)).alias("rows"))
+    today = F.lit(health.agg(F.max(day)).first()[0]).cast("date")  # a literal, so that the filter reaches the scan
+    rows = health.where(F.col("event_ts") >= F.date_sub(today, 8).cast("timestamp"))
+    daily = rows.groupBy(day.alias("d"), "dataset_id", "op_condition_cluster").agg(F.count(F.lit(1)).alias("rows"))
     share = F.col("rows").cast("double") / F.sum("rows").over(Window.partitionBy("d", "dataset_id"))
     ratios = daily.withColumn("pct", share)
-    now, then = ratios.where("d = today"), ratios.where("d = date_sub(today, 7)").select("dataset_id", "op_condition_cluster", F.col("pct").alias("old"))
+    now, then = ratios.where(F.col("d") == today), ratios.where(F.col("d") == F.date_sub(today, 7)).select("dataset_id", "op_condition_cluster", F.col("pct").alias("old"))
     met = now.join(then, ["dataset_id", "op_condition_cluster"], "left")
     order = F.abs(F.coalesce("pct", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))
     return met.orderBy(order.desc(), "dataset_id", "op_condition_cluster").select("dataset_id", "op_condition_cluster", F.round("pct", 4).alias("today_pct"), F.round("old", 4).alias("week_ago_pct"), F.round(F.col("pct") - F.col("old"), 4).alias("delta"))
@@ -125,8 +125,9 @@ def _latest(predicted: DataFrame, version: str) -> DataFrame:
 
 
 def top_risk(predicted: DataFrame, version: str, n: int = 10) -> DataFrame:
-    """The engines with the fewest cycles left."""
-    return _latest(predicted, version).select("dataset_id", "unit_id", "cycle", "rul_pred", "risk_tier", "predict_ts").orderBy("rul_pred", "dataset_id", "unit_id").limit(n)
+    """The engines, training and test ones, with the fewest cycles left."""
+    order = [c for c in ("rul_pred", "dataset_id", "unit_id", "is_test") if c in predicted.columns]
+    return _latest(predicted, version).orderBy(*order).limit(n).select("dataset_id", "unit_id", "cycle", "rul_pred", "risk_tier", "predict_ts")
 
 
 def degradation(kpi: DataFrame) -> DataFrame:

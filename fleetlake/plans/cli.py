@@ -12,7 +12,7 @@ from fleetlake.plans import incremental, maintenance
 from fleetlake.plans.jobs import JOBS
 from fleetlake.session import session
 from fleetlake.sources import readings
-from fleetlake.streaming.ingest import ingest
+from fleetlake.streaming.ingest import ingest, keep_running
 
 VERBS = ["create", "publish", "ensure-stream", "load-truth", "fit-stats", "silver-full", "silver-incremental", "train", "predict", "full", "kpi", "quality", "health", *maintenance.ORDER, "maintain", "jobs"]
 
@@ -91,7 +91,7 @@ def main(argv: list[str] | None = None) -> int:
             readings.publish(readings.replay_order(rows), a.stream, a.stream_at, dry_run=a.dry_run)
     elif a.verb == "ensure-stream":
         stream = readings.message_stream(spark, a.stream, a.stream_at)
-        ingest(stream, lake.table(incremental.RAW), a.checkpoint or f"{a.root}/_checkpoints/raw").awaitTermination()
+        keep_running(lambda: ingest(stream, lake.table(incremental.RAW), a.checkpoint or f"{a.root}/_checkpoints/raw"))
     elif a.verb == "load-truth":
         for d in datasets:
             lake.load_truth(readings.ground_truth(spark, f"{a.folder}/RUL_{d}.txt", d))

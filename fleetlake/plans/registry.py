@@ -6,8 +6,11 @@ and tax times quantity), events for a stream of messages. Doubles are rounded to
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,6 +50,36 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder for what a query writes, gone when the driver ends: in the shared folder of a cluster, on one machine else
+    a temporary one."""
+    shared, held = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
+    shared = shared or (held.get() if held.isDefined() else None)
+    if shared:
+        folder = f"{shared.rstrip('/')}/fleetlake-{name}-{uuid.uuid4().hex[:12]}"
+    elif spark.sparkContext.master.startswith("local"):
+        folder = "file://" + tempfile.mkdtemp(prefix=f"fleetlake-{name}-")
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    atexit.register(_removed, spark, folder)
+    return folder
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session may have ended before the interpreter does
+        pass
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back, for results that a query needs more than once."""
+    folder = _scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 # --- readings ----------------------------------------------------------------------------------------------------
 
 
@@ -120,8 +153,8 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"health_index": expr.health_index(F.col("s_avg_w5")), "rul_label": expr.rul_label(UNIT)})
 
 
-def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = silver(spark, sf_dir).withColumn("v", F.explode(F.array(F.lit("a"), F.lit("b"))))
+def predicted(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = (silver(spark, sf_dir) if rows is None else rows).withColumn("v", F.explode(F.array(F.lit("a"), F.lit("b"))))
     guess = F.when(F.col("v") == "a", F.col("op_setting_1")).otherwise(F.col("op_setting_1") * 0.75 + F.col("op_setting_2") * 100)
     rows = rows.withColumns({"prediction": guess, "model_version": F.col("v"), "predict_ts": F.col("event_ts")})
     return rows.withColumns(rul.prediction_columns(F.col("prediction"), F.col("rul_label"), 12.5))
@@ -148,14 +181,14 @@ _ZS = f"WITH {SCALED} SELECT order_no, line_no, round(z1, 6) AS z1, round(z2, 6)
 @query("zscore_from_stats", _ZS)
 def _(spark, sf_dir):
     rows = conditions(spark, sf_dir)
-    return _rounded(scaler().fit(rows).transform(rows).select("order_no", "line_no", *Z), *Z)
+    stats = _stored(scaler().fit(rows).stats, "stats")  # a later run scales by what an earlier one has stored
+    return _rounded(features.GroupScalerModel(scaler(), stats).transform(rows).select("order_no", "line_no", *Z), *Z)
 
 
 @query("zscore_inline", _ZS)
 def _(spark, sf_dir):
-    w = Window.partitionBy("dataset_id", "op_condition_cluster")
-    z = {o: expr.z_score(F.col(c), F.avg(c).over(w), F.stddev_pop(c).over(w)) for c, o in zip(SENSORS, Z)}
-    return _rounded(conditions(spark, sf_dir).withColumns(z).select("order_no", "line_no", *Z), *Z)
+    rows = conditions(spark, sf_dir)  # few groups hold all rows: their statistics are joined, no window gathers them
+    return _rounded(scaler().fit(rows).transform(rows).select("order_no", "line_no", *Z), *Z)
 
 
 _SILVER = ["dataset_id", "unit_id", "is_test", "cycle", "op_condition_cluster", "rul_label"]
@@ -218,6 +251,37 @@ def _(spark, sf_dir):
     return rows.select("dataset_id", "unit_id", "cycle", F.round("truth", 2).alias("truth"), F.round(F.col("op_setting_1") - F.col("truth"), 6).alias("difference"))
 
 
+_TRUE = "CAST(floor(abs(s_acctbal)) AS BIGINT) % 200"
+_TESTED = f"""WITH {SILVER}, tested AS (SELECT s.dataset_id, op_setting_1 AS p, op_setting_1 - least({_TRUE}, 130) AS d FROM (
+    SELECT * FROM silver WHERE is_test QUALIFY row_number() OVER (PARTITION BY dataset_id, unit_id ORDER BY cycle DESC) = 1) s JOIN supplier ON unit_id = s_suppkey)"""
+_SCORED = "sum(CASE WHEN d >= 0 THEN exp(d / 13.0) - 1 ELSE exp(-d / 10.0) - 1 END)"
+
+
+class _FirstSetting:
+    """A model whose prediction SQL can state."""
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("prediction", F.col("op_setting_1"))
+
+
+def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = silver(spark, sf_dir)
+    lives = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("unit_id"), (F.floor(F.abs("s_acctbal")).cast("long") % 200).cast("int").alias("true_rul"))
+    truth = rows.select("dataset_id", "unit_id").distinct().join(lives, "unit_id")
+    return rul.standard_test(rows, truth, _FirstSetting(), "v")
+
+
+@query("standard_test", f"{_TESTED} SELECT dataset_id, 'nasa_test' AS eval_split, count(*)::BIGINT AS sample_count, round(avg(abs(d)), 6) AS mae, round(sqrt(avg(d * d)), 6) AS rmse, round({_SCORED}, 2) AS phm08_score, round(avg(p), 6) AS pred_mean FROM tested GROUP BY dataset_id")
+def _(spark, sf_dir):
+    found = tested(spark, sf_dir).withColumn("phm08_score", F.round("phm08_score", 2))
+    return _rounded(found.select("dataset_id", "eval_split", "sample_count", "mae", "rmse", "phm08_score", "pred_mean"), "mae", "rmse", "pred_mean")
+
+
+@query("test_metrics", f"{_TESTED} SELECT 'v' AS model_version, dataset_id, count(*)::BIGINT AS sample_count, round(avg(abs(d)), 2) AS mae, round(sqrt(avg(d * d)), 2) AS rmse, round({_SCORED}, 2) AS phm08 FROM tested GROUP BY dataset_id")
+def _(spark, sf_dir):
+    return health.test_metrics(tested(spark, sf_dir))
+
+
 _KPI = PRED + """, steps AS (
   SELECT s.*, event_ts::DATE AS kpi_date, health_index - lag(health_index) OVER (PARTITION BY dataset_id, unit_id, is_test ORDER BY cycle) AS step FROM silver s
 ), met AS (SELECT s.*, p.risk_tier FROM steps s LEFT JOIN predicted p ON p.model_version = 'a' AND s.dataset_id = p.dataset_id AND s.unit_id = p.unit_id AND s.cycle = p.cycle AND s.is_test = p.is_test
@@ -233,7 +297,8 @@ _KPI_ROUND = ["avg_health_index", "health_index_p10", "health_index_p50", "healt
 
 
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kpi.fleet_daily(silver(spark, sf_dir), predicted(spark, sf_dir), VERSION)
+    rows = _stored(silver(spark, sf_dir), "silver")
+    return kpi.fleet_daily(rows, predicted(spark, sf_dir, rows), VERSION)
 
 
 @query("fleet_kpi_daily", f"WITH {_KPI} SELECT {', '.join(_KPI_COLUMNS + _KPI_ROUND)}, round(critical_count::DOUBLE / n, 6) AS risk_ratio_critical FROM daily LEFT JOIN ever USING (dataset_id, op_condition_cluster)")
@@ -267,15 +332,15 @@ def _(spark, sf_dir):
   round(max(abs(a.rul_pred - b.rul_pred)), 2) AS max_abs_diff, round(corr(a.rul_pred, b.rul_pred), 4) AS correlation
   FROM predicted a JOIN predicted b USING (dataset_id, unit_id, cycle, is_test) WHERE a.model_version < b.model_version GROUP BY ALL""")
 def _(spark, sf_dir):
-    return health.version_agreement(predicted(spark, sf_dir))
+    return health.version_agreement(predicted(spark, sf_dir, _stored(silver(spark, sf_dir), "silver")))
 
 
 _LATEST = f"WITH {PRED}, latest AS (SELECT * FROM predicted WHERE model_version = 'a' QUALIFY row_number() OVER (PARTITION BY dataset_id, unit_id, is_test ORDER BY cycle DESC) = 1)"
 
 
-@query("top_risk", f"{_LATEST} SELECT dataset_id, unit_id, cycle, rul_pred, risk_tier FROM latest WHERE NOT is_test ORDER BY rul_pred, dataset_id, unit_id LIMIT 10")
+@query("top_risk", f"{_LATEST} SELECT dataset_id, unit_id, cycle, rul_pred, risk_tier FROM latest ORDER BY rul_pred, dataset_id, unit_id, is_test LIMIT 10")
 def _(spark, sf_dir):
-    return health.top_risk(predicted(spark, sf_dir).where("NOT is_test"), VERSION).drop("predict_ts")
+    return health.top_risk(predicted(spark, sf_dir), VERSION).drop("predict_ts")
 
 
 @query("maintenance_queue", f"{_LATEST} SELECT dataset_id, unit_id, cycle, rul_pred, risk_tier, CASE risk_tier WHEN 'CRITICAL' THEN '즉시 점검' ELSE '7일 내 점검' END AS action FROM latest WHERE risk_tier IN ('CRITICAL', 'HIGH')")
@@ -434,12 +499,14 @@ def _(spark, sf_dir):
 
 
 @query("sequence_window", f"""WITH {_EVENTS}, s AS (SELECT *, list(value) OVER w AS l, first_value(value) OVER w AS f FROM ev WINDOW w AS (PARTITION BY dataset_id, unit_id ORDER BY cycle ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
-  SELECT dataset_id, unit_id, cycle, 30::INT AS length, round(list_sum(l) + (30 - len(l)) * f, 4) AS total, round(f, 6) AS oldest FROM s""")
+  SELECT dataset_id, unit_id, cycle, 30::INT AS length, round(list_sum(l) + (30 - len(l)) * f, 4) AS total, round(f, 6) AS oldest,
+         round(list_sum(list_transform(l, lambda x, i: (30 - len(l) + i) * x)) + f * (30 - len(l)) * (31 - len(l)) / 2, 3) AS weighed FROM s""")
 def _(spark, sf_dir):
     rows = features.sequences(events(spark, sf_dir), ["value"], 30, ["dataset_id", "unit_id"])
     flat = F.transform("sequence", lambda x: F.element_at(x, 1))
     total = F.aggregate(flat, F.lit(0.0), lambda a, x: a + x)
-    return rows.select("dataset_id", "unit_id", "cycle", F.size("sequence").alias("length"), F.round(total, 4).alias("total"), F.round(F.element_at(flat, 1), 6).alias("oldest"))
+    weighed = F.aggregate(F.transform(flat, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)  # tells the order
+    return rows.select("dataset_id", "unit_id", "cycle", F.size("sequence").alias("length"), F.round(total, 4).alias("total"), F.round(F.element_at(flat, 1), 6).alias("oldest"), F.round(weighed, 3).alias("weighed"))
 
 
 @query("affected_units", f"WITH {_EVENTS}, a AS (SELECT max(event_ts) - INTERVAL 2 DAYS AS since FROM ev) SELECT dataset_id, unit_id, cycle, line_no FROM ev e WHERE EXISTS (SELECT 1 FROM ev n, a WHERE n.event_ts > a.since AND n.dataset_id = e.dataset_id AND n.unit_id = e.unit_id)")
@@ -489,32 +556,17 @@ def _(spark, sf_dir):
 # --- text sources ------------------------------------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder for what a query writes: in the shared folder of a cluster, else a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix=f"fleetlake-{name}-") if not shared else f"{shared.rstrip('/')}/fleetlake-{name}-{spark.sparkContext.applicationId}-{next(_COUNT)}"
-    return f"file://{folder}" if not shared else folder
-
-
-def _counter():
-    n = 0
-    while True:
-        n += 1
-        yield n
-
-
-_COUNT = _counter()
-
-
-@query("parse_lines", f"WITH {READ} SELECT unit_id, cycle, round(sensor_1, 4) AS sensor_1, round(sensor_2, 4) AS sensor_21 FROM readings WHERE dataset_id = 'A'")
+@query("parse_lines", f"WITH {READ} SELECT dataset_id, unit_id, cycle, round(sensor_1, 4) AS sensor_1, round(sensor_2, 4) AS sensor_21 FROM readings")
 def _(spark, sf_dir):
-    rows = cycles(spark, sf_dir).where("dataset_id = 'A'")
+    rows = _stored(cycles(spark, sf_dir), "cycles")
     number = lambda c: F.format_string("%.6f", F.col(c))
     tokens = [F.col("unit_id").cast("string"), F.col("cycle").cast("string"), *[number(f"op_setting_{k}") for k in (1, 2, 3)], number("sensor_1"), *[F.lit("0.0")] * 19, number("sensor_2"), F.lit("extra")]
     folder = _scratch(spark, "lines")
-    rows.select(F.concat(F.lit(" "), F.concat_ws("  ", *tokens))).write.mode("overwrite").text(f"{folder}/train_A.txt")
-    found = readings.sensor_records(spark, folder, "A")
-    return found.select("unit_id", "cycle", F.round("sensor_1", 4).alias("sensor_1"), F.round("sensor_21", 4).alias("sensor_21"))
+    parts = []
+    for (dataset,) in rows.select("dataset_id").distinct().orderBy("dataset_id").collect():  # a file for each of the few datasets
+        rows.where(F.col("dataset_id") == dataset).select(F.concat(F.lit(" "), F.concat_ws("  ", *tokens))).write.mode("overwrite").text(f"{folder}/train_{dataset}.txt")
+        parts.append(readings.sensor_records(spark, folder, dataset))
+    return reduce(DataFrame.unionByName, parts).select("dataset_id", "unit_id", "cycle", F.round("sensor_1", 4).alias("sensor_1"), F.round("sensor_21", 4).alias("sensor_21"))
 
 
 @query("ground_truth_file", "SELECT row_number() OVER (ORDER BY s_suppkey)::INT AS unit_id, trunc(abs(s_acctbal))::INT AS true_rul FROM supplier")
@@ -589,7 +641,7 @@ def _(spark, sf_dir):
 
 @query("partition_pruned", _sql(f"flag = 'A' AND ({_LATE} OR {_OLD})", f"CASE WHEN {_NEW} THEN price * 10 ELSE price END"))
 def _(spark, sf_dir):
-    return _items(spark, sf_dir)[0].read(layout=lambda x: x["p_flag"] == "A").where("flag = 'A'").withColumn("price", F.round("price", 2))
+    return _items(spark, sf_dir)[0].read(where="flag = 'A'").withColumn("price", F.round("price", 2))
 
 
 @query("table_files")
@@ -602,14 +654,60 @@ def _(spark, sf_dir):
     return health.small_ratio({"items": _items(spark, sf_dir)[0]})
 
 
-@query("snapshot_growth", "SELECT 'items' AS table_name, 3::BIGINT AS snapshot_count, 0::BIGINT AS span_days")
+def _two(spark: SparkSession, sf_dir: str) -> dict[str, SnapshotTable]:
+    """The table above, and one with two appends and a compaction."""
+    other = SnapshotTable.create(spark, _scratch(spark, "other"), ITEMS, replace=True)
+    for k in range(2):
+        other.append(spark.createDataFrame([(k, 1, "A", 1.0)], ITEMS.schema))
+    other.compact()
+    return {"items": _items(spark, sf_dir)[0], "other": other}
+
+
+@query("changed_rows", _sql(_NEW, "price * 10"))
+def _(spark, sf_dir):
+    table, ids = _items(spark, sf_dir)  # what the upsert was given, without the rows that moved along
+    return table.changes(ids[0], ids[1]).withColumn("price", F.round("price", 2))
+
+
+_TOTALS = Table("totals", ddl("order_no bigint", "n bigint", "total double"), ["order_no"])
+
+
+def _incremental(spark: SparkSession, sf_dir: str) -> tuple[SnapshotTable, list[int]]:
+    """Totals per order by three incremental runs: over the first three lines of all orders, over the rest, which
+    recomputes the orders that it touches, and over nothing. The table, and the rows that each run wrote."""
+    from fleetlake.plans.incremental import STATE, IncrementalJob
+    from fleetlake.schemas import TABLES
+
+    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_no"), F.col("l_linenumber").alias("line_no")).agg(F.max("l_returnflag").alias("flag"), F.max("l_extendedprice").alias("price"))
+    folder = _scratch(spark, "incremental")
+    source, sink, state = (SnapshotTable.create(spark, f"{folder}/{t.name}", t) for t in (ITEMS, _TOTALS, TABLES[STATE]))
+    job = IncrementalJob("totals", source, sink, state, ["order_no"], lambda x: x.groupBy("order_no").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total")))
+    written = []
+    for part in ("line_no <= 3", "line_no > 3", None):
+        if part:
+            source.append(rows.where(part))
+        written.append(job.run())
+    return sink, written
+
+
+@query("incremental_result", f"SELECT order_no, count(*)::BIGINT AS n, round(sum(price), 2) AS total FROM ({_ITEM}) GROUP BY order_no")
+def _(spark, sf_dir):
+    return _incremental(spark, sf_dir)[0].read().withColumn("total", F.round("total", 2))
+
+
+@query("incremental_runs", f"SELECT 1::INT AS run, count(DISTINCT order_no)::BIGINT AS written FROM ({_ITEM}) WHERE line_no <= 3 UNION ALL SELECT 2, count(DISTINCT order_no) FROM ({_ITEM}) WHERE line_no > 3 UNION ALL SELECT 3, 0")
+def _(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(_incremental(spark, sf_dir)[1], 1)), "run int, written bigint")
+
+
+@query("snapshot_growth", "SELECT * FROM (VALUES ('items', 3::BIGINT, 0::BIGINT), ('other', 3, 0)) t(table_name, snapshot_count, span_days)")
 def _(spark, sf_dir):
-    return health.snapshot_growth({"items": _items(spark, sf_dir)[0]}).drop("oldest_snapshot", "latest_snapshot")
+    return health.snapshot_growth(_two(spark, sf_dir)).drop("oldest_snapshot", "latest_snapshot")
 
 
-@query("snapshot_timeline", "SELECT * FROM (VALUES ('items', 'append', 1::BIGINT), ('items', 'append', 3), ('items', 'overwrite', 2)) t(tbl, operation, place)")
+@query("snapshot_timeline", "SELECT * FROM (VALUES ('items', 'append', 1::BIGINT), ('items', 'append', 3), ('items', 'overwrite', 2), ('other', 'append', 1), ('other', 'append', 2), ('other', 'replace', 3)) t(tbl, operation, place)")
 def _(spark, sf_dir):
-    found = health.snapshot_timeline({"items": _items(spark, sf_dir)[0]})
+    found = health.snapshot_timeline(_two(spark, sf_dir))
     return found.select("tbl", "operation", F.row_number().over(Window.partitionBy("tbl").orderBy("committed_at")).cast("bigint").alias("place"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,6 +32,21 @@ def ingest(stream: DataFrame, table: SnapshotTable, checkpoint: str, trigger: st
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
 
 
+def keep_running(restart, pause: float = 30.0, most: int | None = None) -> None:
+    """Starts the query with ``restart`` and looks after it each ``pause`` seconds until it ends by itself. One that fails
+    is started again, from its checkpoint, ``most`` times at most (None: always)."""
+    query, failed = None, 0
+    while True:
+        query = ensure_running(query, restart)
+        try:
+            if query.awaitTermination(pause):
+                return
+        except StreamingQueryException:
+            failed += 1
+            if most is not None and failed > most:
+                raise
+
+
 def ensure_running(query: StreamingQuery | None, restart) -> StreamingQuery:
     """The query if it is alive, else what ``restart`` starts."""
     return query if query is not None and query.isActive else restart()
