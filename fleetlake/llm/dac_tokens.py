@@ -329,12 +329,8 @@ def _opened(spark: SparkSession, files: DataFrame) -> DataFrame | None:
     """Contents of the files, each with the number of tokens before it. Files are read in whatever store they are."""
     shared.bounded_batches(spark)
     shared.ship(spark)
-    one = files.select("path").first()
-    if one is None:
-        return None
-    name = F.element_at(F.split("path", "/"), -1).alias("file")
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(one[0].rsplit("/", 1)[0]).select(name, "content")
-    return content.join(files.select(name, "before"), "file").select("content", "before")
+    content = shared.listed_content(spark, files.select("path", "before"), "*.dac")
+    return None if content is None else content.select("content", "before")
 
 
 def _readers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Reader, pa.Array, int]]:

@@ -19,6 +19,7 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of Arrow data handed to Python at once; rows of any length then stay within a worker's memory.
@@ -33,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fleetlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -104,6 +107,17 @@ def put_file(uri: str, data: bytes) -> None:
     store.move(draft, path)
 
 
+def listed_content(spark: SparkSession, files: DataFrame, glob: str) -> DataFrame | None:
+    """``files``, whose column ``path`` names files, with their ``content``, in whatever store they are; None if there is
+    none. Folders are listed whole, but only files whose last two names ``files`` has stay."""
+    place = lambda c: F.concat_ws("/", F.slice(F.split(c, "/+"), -2, 2))
+    folders = [r[0] for r in files.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect()]  # a row per call of write()
+    if not folders:
+        return None
+    content = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folders).select(place("path").alias("__place"), "content")
+    return content.join(files.withColumn("__place", place("path")), "__place").drop("__place")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, for clusters on which it isn't installed."""
     app = spark.sparkContext.applicationId

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -130,20 +131,21 @@ def planned(pages: DataFrame, key: str = "page_id", payload: str = "html", url:
 
 def write(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
     """Writes a record per page to archives in ``folder`` (default: a new one in the shared folder) and returns the
-    list of files: path, n_records, n_bytes. A task that runs again writes the same files. An empty table gives none;
-    rows that repeat with key and payload are each a response."""
+    list of files: path, n_records, n_bytes. Tasks take their rows in key order, nulls first, and each attempt of a
+    task writes files of its own: the list, which names those of the attempts that counted, says what the archives
+    are. An empty table gives none; rows that repeat with key and payload are each a response."""
     spark = pages.sparkSession
     folder = folder or shared.fresh_path(spark, "warc")
-    plan = planned(pages, **columns)
+    plan = planned(pages, **columns).sortWithinPartitions(F.col("key").asc_nulls_first(), "url", "payload")
     shared.bounded_batches(spark)
     shared.ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n, piece, part = [], 0, 0, TaskContext.get().partitionId()
+        out, n, piece, part, attempt = [], 0, 0, TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
 
         def flush() -> pa.RecordBatch:
             data = b"".join(out)
-            path = f"{folder}/part-{part:06d}-{piece:04d}.warc.gz"
+            path = f"{folder}/part-{part:06d}-{piece:04d}-{attempt}.warc.gz"
             shared.put_file(path, data)
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n]), pa.array([len(data)])], names=["path", "n_records", "n_bytes"])
 
@@ -164,14 +166,14 @@ def write(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
 
 
 def read(spark: SparkSession, files: DataFrame, bodies: bool = True) -> DataFrame:
-    """A row per record of the listed archives: key (as text), url, payload_bytes and payload_digest (base32 SHA-1)
+    """A row per record of the listed archives, whatever else lies in their folders: key (as text), url, payload_bytes and payload_digest (base32 SHA-1)
     of the full payload, record_type, refers_to (as text; null for responses) and, if ``bodies``, the payload (null
     for revisits)."""
     shared.bounded_batches(spark)
     shared.ship(spark)
     schema = "key string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + (", payload binary" if bodies else "")
-    one = files.select("path").first()
-    if one is None:
+    content = shared.listed_content(spark, files.select("path"), "*.warc.gz")
+    if content is None:
         return spark.createDataFrame([], schema)
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()][: len(names)]
@@ -196,5 +198,4 @@ def read(spark: SparkSession, files: DataFrame, bodies: bool = True) -> DataFram
                 if group:
                     yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*group), kinds)], names)
 
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(one[0].rsplit("/", 1)[0]).select("content")
-    return shared.arrow_map(content, run, schema)
+    return shared.arrow_map(content.select("content"), run, schema)
