@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from . import shared
 from . import textkernel as K
@@ -35,6 +34,8 @@ WORDS, WIDE = 8, 256
 BITS = [f"b{k}" for k in range(WORDS)]
 #: Nodes of a block, members that one copy of a hub's set meets, and partners of one list.
 BLOCK, MEMBERS, LIST = 8192, 2000, 1024
+#: Nodes that a task remembers having met, and partners that a tile gathers before they leave.
+SEEN, GATHERED = 500_000, 500_000
 
 
 class Bands:
@@ -140,7 +141,8 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def cells(docs: DataFrame, text: str, width: int, num: int, den: int) -> DataFrame:
-    """cell, node: a row for every cell key of every node. Copies that one task meets count once."""
+    """cell, node: a row for every cell key of every node. Of copies that one task meets soon after each other one
+    counts; rows may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
@@ -149,6 +151,8 @@ def cells(docs: DataFrame, text: str, width: int, num: int, den: int) -> DataFra
             for _, shingles in _sets(batch.column("text"), width):
                 if not len(shingles) or (node := _node(shingles)) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(node)
                 own = bands.keys(shingles)
                 keys.append(own)
@@ -181,7 +185,10 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
     hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
     members = pairs.join(hubs, "b").select(F.col("a").alias("node"), F.struct(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role")).alias("to"))
     copies = hubs.select(F.col("b").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("node", F.struct(F.col("node").alias("hub"), "part", F.lit(0).alias("role")).alias("to"))
-    wanted = members.unionByName(copies).groupBy("node").agg(F.collect_list("to").alias("to"))
+    wanted = members.unionByName(copies)
+    many = wanted.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("lists")).where("lists > 1")
+    wanted = wanted.join(many, "node", "left").withColumn("list", F.pmod(F.xxhash64("to"), F.coalesce("lists", F.lit(1))))
+    wanted = wanted.groupBy("node", "list").agg(F.collect_list("to").alias("to")).drop("list")  # about LIST each
     wanted = wanted.join(classes.select("node", "rep"), "node")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, F.col("key").eqNullSafe(F.col("rep"))).select("text", "node", "to")
 
@@ -236,11 +243,11 @@ def rest_pairs(met: DataFrame, comp: DataFrame, classes: DataFrame, num: int, de
     """Pairs of nodes that share a cell, aren't in one component and weren't compared with its hub, if their
     signatures allow a link. Cells are cut into blocks of about BLOCK nodes and every pair of blocks is a tile, so no
     task holds all pairs of a cell; in a tile all nodes outside its largest component meet all others. A node's
-    partners leave as lists and lists of several cells are united before they become pairs."""
-    w = Window.partitionBy("cell")
+    partners leave as lists, some before the tile is done, and lists of several cells are united before they become
+    pairs. Cells are judged by aggregates and met by a join, which can be split where a cell has very many nodes."""
     rows = met.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = rows.withColumns({"low": F.min("component").over(w), "high": F.max("component").over(w), "size": F.count(F.lit(1)).over(w)})
-    rows = rows.where("low <> high AND size > 2 AND node <> hub")
+    open_cells = rows.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    rows = rows.join(open_cells.where("low <> high AND size > 2").select("cell", "size"), "cell").where("node <> hub")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
@@ -260,13 +267,24 @@ def rest_pairs(met: DataFrame, comp: DataFrame, classes: DataFrame, num: int, de
                 changes[1:] |= column[c][1:] != column[c][:-1]
             starts = np.flatnonzero(changes)
             out: dict[int, set[int]] = {}
+            held = 0
+
+            def told() -> pa.RecordBatch:
+                lists = [(node, *x) for node, partners in out.items() for x in _lists(partners)]
+                out.clear()
+                return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*lists), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["b", "part", "partners"])
+
             for a, b in zip(starts, np.append(starts[1:], rows.num_rows)):
                 if b - a < 2:
                     continue
-                _tile({c: x[a:b] for c, x in column.items()}, bits[a:b], num, den, out)
-            lists = [(node, *x) for node, partners in out.items() for x in _lists(partners)]
-            if lists:
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*lists), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["b", "part", "partners"])
+                for node, partners in _tile({c: x[a:b] for c, x in column.items()}, bits[a:b], num, den):
+                    out.setdefault(node, set()).update(partners)
+                    held += len(partners)
+                    if held >= GATHERED:
+                        yield told()
+                        held = 0
+            if out:
+                yield told()
 
         for batch in batches:
             if not batch.num_rows:
@@ -301,8 +319,8 @@ def _lists(partners: set[int]) -> Iterator[tuple[int, list[int]]]:
         yield split << 32 | k, part
 
 
-def _tile(column: dict[str, np.ndarray], bits: np.ndarray, num: int, den: int, out: dict[int, set[int]]) -> None:
-    """Adds to ``out`` the partners of the tile's nodes outside its largest component."""
+def _tile(column: dict[str, np.ndarray], bits: np.ndarray, num: int, den: int) -> Iterator[tuple[int, list[int]]]:
+    """The tile's nodes outside its largest component that have partners, with these."""
     node, component, n, left = column["node"], column["component"], column["n_shingles"], column["left"]
     names, counts = np.unique(component, return_counts=True)
     main = names[np.argmax(counts)]
@@ -318,7 +336,7 @@ def _tile(column: dict[str, np.ndarray], bits: np.ndarray, num: int, den: int, o
         overlap = np.minimum(np.minimum((total - differ) // 2, n[at]), n[q])
         at = at[den * overlap >= num * (total - overlap)]
         if len(at):
-            out.setdefault(int(node[q]), set()).update(node[at].tolist())
+            yield int(node[q]), node[at].tolist()
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -333,9 +351,10 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     sig = signatures(docs, key, text, width)
     classes = sig.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("rep"), F.max("n_shingles").alias("n_shingles"), *(F.max(b).alias(b) for b in BITS), F.max("wide").alias("wide"))
     classes = shared.written(spark, classes, "classes")
-    w = Window.partitionBy("cell")
-    found = cells(docs, text, width, num, den).withColumns({"hub": F.min("node").over(w), "top": F.max("node").over(w)})
-    met = shared.written(spark, found.where("hub <> top").drop("top").distinct(), "cells")
+    found = shared.written(spark, cells(docs, text, width, num, den), "all-cells")
+    hubs = found.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").drop("top")
+    met = shared.written(spark, found.join(hubs, "cell").distinct(), "cells")  # most cells have one node only
+    shared.remove(spark, found.shared_path)
     stars = met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     small = classes.select("node", "n_shingles", *BITS)
     stars = stars.join(small.alias("x"), F.col("a") == F.col("x.node")).join(small.alias("y"), F.col("b") == F.col("y.node")).where(_may_link("x", "y", num, den)).select("a", "b")
