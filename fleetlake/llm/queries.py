@@ -21,36 +21,46 @@ def _tokenizer_file(name: str) -> str:
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its size and source, the source's target and the words that the mix takes; null texts have size 0,
+    null sources are one source."""
     plan = mixing.planned(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col(mixing.COPIES) * F.col("size")).cast("long").alias("taken"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the tokens of its whole text; null texts are empty and have none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_counts.with_token_counts(docs, _tokenizer_file("piece_bpe_32k.model")).drop("text")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its size before, what went, and what is left: the digest of its bytes, and the text (U+FFFD for
+    characters that a cut has broken)."""
     found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed")
-    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    left = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), left)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the number of tokens and the digests of ids and decoded text; null texts are empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.round_trips(docs, _tokenizer_file("byte_bpe_50k.json")).drop("text")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its set's size and the smallest doc_id that links reach; texts without words link with nothing."""
     return jaccard_join.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the counts, the base rule and the verdict of the line rules; null texts have no words and fail."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judged(docs, cleaned=None).drop("text")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the score of a model fitted outside the held-out fifth; null texts are scored as empty ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
     found = toxicity.scored(docs, model)
@@ -58,17 +68,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document what reading its TIFF back gives: payload, digests and features; null texts are empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tiff_media.read_back(tiff_media.with_media(docs).drop("text"), ["doc_id", "n_bytes"])
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its place, length and checksum as read from the token files; null texts hold the end id only."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = dac_tokens.write(docs, _tokenizer_file("word_bpe_49k.json"), end_id=2)
     return dac_tokens.read_checksums(spark, files, docs.schema["doc_id"].dataType.simpleString()).withColumnRenamed("key", "doc_id")
 
 
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page its record as read from the archives; null pages have empty payloads, which all refer to one."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     key = pages.schema["page_id"].dataType
     found = warc_archive.read(spark, warc_archive.write(pages), bodies=False)

@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from . import shared
 from . import textkernel as K
 
-#: Rows of one anchor that one task sorts; anchors with more are sorted by a shuffle of their windows.
-ANCHOR_ROWS = 50_000
+#: Rows of one anchor that one task sorts, some 2 MB of bodies; anchors with more are sorted by a shuffle of their windows.
+ANCHOR_ROWS = 4_000
 #: Symbols that a task sorts at once (whole anchors, at most ANCHOR_ROWS rows more).
 SORTED_BYTES = 4 << 20
 
