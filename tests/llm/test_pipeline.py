@@ -55,6 +55,15 @@ def test_odd_and_empty(spark, odd, empty, name):
         assert name == "tokens" or out.columns == docs.columns
 
 
+def test_columns_named_like_results_stay(spark, documents):
+    clashing = ["score", "Predicted", "n_bytes", "spans", "kept", "__key", "__print", "__name", "size", "n_copies", "component_id"]
+    docs = documents.limit(12).withColumns({c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in clashing})
+    for name, run in corpus_pipeline.STAGES[:-1]:
+        out = run(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert all(r[c] == f"{c}:{r['doc_id']}" for r in out.collect() for c in clashing), name
+
+
 def test_queries_cover_all_operators():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
     assert jaccard_join.joined.__doc__

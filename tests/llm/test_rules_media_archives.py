@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import shutil
 import struct
 import zlib
 
@@ -207,3 +208,19 @@ def test_archive_odd_and_empty(spark):
 def test_rules_odd_and_empty(odd, empty):
     assert quality_rules.judged(odd).count() == odd.count() and quality_rules.judged(empty).count() == 0
     assert {r.cleaned for r in quality_rules.judged(odd).where("text IS NULL OR text = ''").collect()} == {""}
+
+
+def test_archives_are_what_the_list_names(spark, tmp_path):
+    rows = [(k, f"http://h/{k}", "same" if k % 3 else f"page {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    files = warc_archive.write(docs, folder)
+    names = [r.path for r in files.collect()]
+    stray = names[0].removeprefix("file://")
+    shutil.copy(stray, stray.replace("part-", "part-9"))  # what another attempt of a task has left
+    warc_archive.write(docs.limit(5), folder)
+    told = lambda f: sorted((int(r.key), r.record_type, r.refers_to, r.payload_digest) for r in warc_archive.read(spark, f).collect())
+    want = told(files)
+    assert [x[0] for x in want] == list(range(40))
+    shuffled = docs.orderBy(F.rand(3)).repartition(5)
+    assert told(warc_archive.write(shuffled)) == want
