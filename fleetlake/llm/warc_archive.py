@@ -162,7 +162,8 @@ def write(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
             yield flush()
 
     listed = shared.arrow_map(plan, run, "path string, n_records long, n_bytes long").collect()  # a row per file
-    return spark.createDataFrame([tuple(x) for x in listed], "path string, n_records long, n_bytes long")
+    # as a written table its size is known, so that the join in read() sends it to all while it is small
+    return shared.written(spark, spark.createDataFrame([tuple(x) for x in listed], "path string, n_records long, n_bytes long").coalesce(1), "warc-files")
 
 
 def read(spark: SparkSession, files: DataFrame, bodies: bool = True) -> DataFrame:
