@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
@@ -14,7 +15,7 @@ from fleetlake.session import session
 from fleetlake.sources import readings
 from fleetlake.streaming.ingest import ingest, keep_running
 
-VERBS = ["create", "publish", "ensure-stream", "load-truth", "fit-stats", "silver-full", "silver-incremental", "train", "predict", "full", "kpi", "quality", "health", *maintenance.ORDER, "maintain", "jobs"]
+VERBS = ["create", "publish", "ensure-stream", "load-truth", "fit-stats", "silver-full", "silver-incremental", "train", "train-sequences", "predict", "full", "kpi", "quality", "health", *maintenance.ORDER, "maintain", "jobs"]
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +29,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--base", default="2025-08-01 00:00:00")
     p.add_argument("--cycle-interval", default="1h")
     p.add_argument("--unit-jitter", default="1h")
+    p.add_argument("--include-test", action="store_true")
+    p.add_argument("--pace", type=float, default=0.0, help="seconds between the cycles that are published, before --speedup; 0: all at once")
+    p.add_argument("--speedup", type=float, default=600.0)
     p.add_argument("--stream", default="file", choices=["file", "kafka"])
     p.add_argument("--stream-at", help="folder of messages, or the broker")
     p.add_argument("--checkpoint")
@@ -85,10 +89,10 @@ def main(argv: list[str] | None = None) -> int:
     elif a.verb == "publish":
         from fleetlake.functions.expr import seconds_of
 
-        for d in datasets:
-            rows = readings.sensor_records(spark, a.folder, d, a.source, a.max_units)
-            rows = readings.with_event_time(rows, a.base, seconds_of(a.cycle_interval), seconds_of(a.unit_jitter))
-            readings.publish(readings.replay_order(rows), a.stream, a.stream_at, dry_run=a.dry_run)
+        sources = [a.source, "test"] if a.include_test and a.source != "test" else [a.source]
+        rows = reduce(DataFrame.unionByName, [readings.sensor_records(spark, a.folder, d, s, a.max_units) for d in datasets for s in sources])
+        rows = readings.with_event_time(rows, a.base, seconds_of(a.cycle_interval), seconds_of(a.unit_jitter))
+        print(readings.replay(rows, a.stream, a.stream_at, pace=a.pace, speedup=a.speedup, report=print, dry_run=a.dry_run))
     elif a.verb == "ensure-stream":
         stream = readings.message_stream(spark, a.stream, a.stream_at)
         keep_running(lambda: ingest(stream, lake.table(incremental.RAW), a.checkpoint or f"{a.root}/_checkpoints/raw"))
@@ -103,6 +107,8 @@ def main(argv: list[str] | None = None) -> int:
         print(lake.silver_incremental(a.stats_version))
     elif a.verb == "train":
         print(lake.train(a.model_version, a.rul_cap))
+    elif a.verb == "train-sequences":
+        print(lake.train_sequences(a.model_version, a.rul_cap))
     elif a.verb == "predict":
         print(lake.predict())
     elif a.verb == "full":

@@ -135,6 +135,24 @@ class Lake:
         record_state(self.table(GOLD_STATE), "gold_rul_predict", old["last_snapshot_id"] if old else None, 0, active_model_version=version, active_model_path=path, active_model_trained_ts=_now(self.spark), residual_sigma=sigma)
         return path
 
+    def train_sequences(self, version: str, cap: int = rul.CAP, window: int = 30, max_iter: int = 20, max_depth: int = 5) -> str:
+        """Trains the model over sequences, upserts its metrics and its predictions for all training engines, and saves it.
+        The model that ``predict`` uses stays the same."""
+        health = self.table(HEALTH)
+        rows = rul.prepared(health.read().where("NOT is_test AND rul_label IS NOT NULL"), cap)
+        if rows.isEmpty():
+            raise SystemExit("the health table has no training rows")
+        fitting, held = rul.split(rows)
+        model = rul.fit_sequences(fitting, window, max_iter, max_depth)
+        path = rul.save(model, self.models, version)
+        snapshot, count = health.current_id(), rows.count()
+        # an engine is on one side, so its steps are the same whether the sides are scored together or apart
+        known, fresh = (model.transform(rul.sequence_vectors(side, window)) for side in (fitting, held))
+        found = rul.metrics(known, version, "train", snapshot, count).unionByName(rul.metrics(fresh, version, "holdout", snapshot, count))
+        self.table(METRICS).upsert(found)
+        self.table(PREDICTED).upsert(rul.predictions(known.unionByName(fresh), version, rul.residual_sigma(fresh), snapshot))
+        return path
+
     def _gold_state(self):
         return self.table(GOLD_STATE).read().where("pipeline_name = 'gold_rul_predict'").first()
 

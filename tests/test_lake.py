@@ -128,6 +128,19 @@ def test_train_and_test_engines_stay_apart(spark, lake):
     assert keyed(rows, "rul_label")["FD001", 1, 1, False] == (19,)
 
 
+def test_sequence_model_writes_its_rows(spark, lake):
+    with pytest.raises(SystemExit):
+        lake.train_sequences("s1")
+    lake.table(incremental.HEALTH).append(health_rows(spark, 10, 20).unionByName(health_rows(spark, 2, 15, test=True, offset=10)))
+    for _ in range(2):  # again: the same keys
+        lake.train_sequences("s1", window=5, max_iter=3, max_depth=3)
+    found = {r.eval_split: r for r in lake.table(incremental.METRICS).read().collect()}
+    predicted = lake.table(incremental.PREDICTED).read()
+    assert set(found) == {"train", "holdout"} and found["train"].sample_count + found["holdout"].sample_count == 200 == predicted.count()
+    assert predicted.where("is_test OR model_version <> 's1' OR rul_pred_lower > rul_pred OR rul_actual <> 20 - cycle").count() == 0
+    assert lake.table(incremental.GOLD_STATE).read().count() == 0
+
+
 def test_model_lifecycle(spark, lake):
     with pytest.raises(SystemExit):
         lake.predict()

@@ -59,6 +59,34 @@ def test_replay_takes_turns(spark):
     assert sent[0].key == "FD001:1" and json.loads(sent[0].value)["event_ts"].endswith("Z")
 
 
+def test_replay_keeps_its_pace(spark, tmp_path):
+    folder, now, told = f"file://{tmp_path}/in", [0.0], []
+    rows = raw_rows(spark, range(1, 3), range(1, 4)).unionByName(raw_rows(spark, range(1, 2), range(1, 3), source="test"))
+    clock, wait = lambda: now[0], lambda s: now.__setitem__(0, now[0] + s)
+    done = readings.replay(rows, "file", folder, pace=60, speedup=30, report=told.append, clock=clock, wait=wait)
+    assert [t["ticks"] for t in told] == [1, 2, 3, 4, 5, 6] and [t["records"] for t in told] == [2, 4, 5, 6, 7, 8]
+    assert [t["seconds"] for t in told] == [0, 2, 4, 6, 8, 10] and told[2]["sources"] == 1 and done == told[-1]
+    sent = [json.loads(r.value) for r in spark.read.text(folder).collect()]
+    assert len(sent) == 8 and done["first_ts"] < done["last_ts"]
+    late = iter([0.0, 0.0, 0.0, 5.0, 5.0, 99.0, 99.0])  # start, due, seconds after each sending
+    told.clear()
+    readings.replay(rows, "file", folder, pace=60, speedup=30, report=told.append, dry_run=True, clock=lambda: next(late), wait=wait)
+    assert [t["ticks"] for t in told] == [1, 3, 6]  # what came due meanwhile goes together
+    assert readings.replay(rows, "file", folder, pace=0, dry_run=True)["records"] == 8
+    assert readings.replay(rows.limit(0), "file", folder)["ticks"] == 0
+
+
+def test_engines_messages_stay_in_order(spark, tmp_path):
+    rows = readings.replay_order(raw_rows(spark, range(1, 6), range(1, 30))).repartition(7)
+    readings.publish(rows, "file", f"file://{tmp_path}/in")
+    seen = {}
+    for file in (tmp_path / "in").glob("part-*"):
+        for m in map(json.loads, file.read_text().splitlines()):
+            seen.setdefault(m["unit_id"], []).append((file.name, m["cycle"]))
+    assert {k: [c for _, c in v] for k, v in seen.items()} == {k: list(range(1, 30)) for k in range(1, 6)}
+    assert all(len({f for f, _ in v}) == 1 for v in seen.values())
+
+
 def test_stream_to_table(spark, tmp_path):
     folder = f"file://{tmp_path}"
     rows = raw_rows(spark, range(1, 3), range(1, 6))
