@@ -167,6 +167,22 @@ def cells(docs: DataFrame, text: str, width: int, num: int, den: int) -> DataFra
     return shared.arrow_map(docs.select(F.col(text).alias("text")), run, "cell long, node long")
 
 
+def passes_for(num: int, den: int) -> int:
+    """As many passes as there are times the cells of a join at 0.9: (den - num) / num for each shingle."""
+    return max(1, -(-9 * (den - num) // num))
+
+
+def meetings(found: DataFrame, passes: int) -> DataFrame:
+    """cell, node, hub (its least node) of all cells with several nodes, which few have. Each pass takes one share of the
+    cells whole, so that no more than that share's rows are in shuffle files at a time."""
+    spark, parts = found.sparkSession, []
+    for k in range(passes):
+        share = found.where(F.pmod("cell", F.lit(passes)) == k)
+        hubs = share.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").drop("top")
+        parts.append(shared.written(spark, share.join(hubs, "cell").distinct(), "cells"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _may_link(a: str, b: str, num: int, den: int) -> Column:
     """The bound: with d bits different at least d shingles are, so the overlap is at most (n + m - d) / 2."""
     differ = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in BITS), F.lit(0))
@@ -352,8 +368,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     classes = sig.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("rep"), F.max("n_shingles").alias("n_shingles"), *(F.max(b).alias(b) for b in BITS), F.max("wide").alias("wide"))
     classes = shared.written(spark, classes, "classes")
     found = shared.written(spark, cells(docs, text, width, num, den), "all-cells")
-    hubs = found.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").drop("top")
-    met = shared.written(spark, found.join(hubs, "cell").distinct(), "cells")  # most cells have one node only
+    met = meetings(found, passes_for(num, den))
     shared.remove(spark, found.shared_path)
     stars = met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     small = classes.select("node", "n_shingles", *BITS)
