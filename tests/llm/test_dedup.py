@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -147,6 +148,18 @@ def test_a_step_of_the_join_shuffles_little_at_a_time(spark, documents, monkeypa
     assert 0 < max(most) < 0.8 * size
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" ")))
+    before = files()
+    rows = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count()
+    held = rows.join(rows.withColumnRenamed("count", "n"), "k")
+    jaccard_join.shared.written(spark, held, "test")
+    time.sleep(1)
+    assert not files() - before
+    assert spark.conf.get(jaccard_join.shared.CLEANUP) == "false"
+
+
 def test_representatives(spark):
     rows = families()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
